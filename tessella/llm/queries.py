@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, packing, pieces, simhash
+from tessella.llm import chat, packing, pieces, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    index = toxicity.fit(toxicity.bounded_sample(docs, _table(spark, sf_dir, "labels")))
+    scored = toxicity.score_documents(docs, index)
+    return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_documents(_table(spark, sf_dir, "documents"))
     return coded.select(
@@ -48,7 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op6_pieces": op6_pieces, "op3_simhash": op3_simhash, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_pack": op1_pack, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op3_simhash": op3_simhash, "op10_chat_format": op10_chat_format}
 
 
 def _escaped_sql(x: str) -> str:
