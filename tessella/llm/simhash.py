@@ -67,8 +67,8 @@ def _variants(blocks: int = BLOCKS):
         mark = (0xA5C3 ^ b) << (b * width) & block  # tells the masked blocks apart
         flips = [0] + [1 << i for i in range(64) if not block >> i & 1]
         kept = F.col("fp").bitwiseAND(F.lit(signed(~block & (1 << 64) - 1)))
-        out.append(F.transform(F.array(*[F.lit(signed(f | mark)).cast("long") for f in flips]), lambda f, kept=kept: kept.bitwiseXOR(f)))
-    return F.concat(*out)
+        out += [kept.bitwiseXOR(F.lit(signed(f | mark))) for f in flips]
+    return F.array(*out)
 
 
 def _forest(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
