@@ -112,7 +112,10 @@ def _features(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
         digits = sum(map(str.isdigit, token))
         around = text[max(0, s - 24) : s].split(" ")[-2:], text[e : e + 24].split(" ")[:2]
         named = [f"s{shapes[i]}", f"d{digits}", f"p{around[0][:1]}", f"n{around[1][-1:]}", "@" * ("@" in token) or "-", "." * (token.count(".") == 3) or "_"]
-        named += [f"l{shapes[i - 1]}"] * (i > 0 and s - spans[i - 1][1] <= 3) + [f"r{shapes[i + 1]}"] * (i + 1 < len(spans) and spans[i + 1][0] - e <= 3)
+        if i and s - spans[i - 1][1] <= 3:
+            named.append(f"l{shapes[i - 1]}")
+        if i + 1 < len(spans) and spans[i + 1][0] - e <= 3:
+            named.append(f"r{shapes[i + 1]}")
         out.append([zlib.crc32(f.encode("utf-8", "replace")) % FEATURES for f in named])
     return out
 
