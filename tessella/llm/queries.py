@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, packing, pieces, pii, simhash, toxicity
+from tessella.llm import chat, packing, pieces, pii, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -63,7 +68,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op3_simhash": op3_simhash, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_pack": op1_pack, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op10_chat_format": op10_chat_format}
 
 
 def _escaped_sql(x: str) -> str:
