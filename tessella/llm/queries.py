@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, packing, pieces, pii, simhash, toxicity, warc
+from tessella.llm import chat, neardup, packing, pieces, pii, simhash, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -68,7 +76,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_pack": op1_pack, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op8_top_k": op8_top_k, "op9_near_vectors": op9_near_vectors, "op10_chat_format": op10_chat_format}
 
 
 def _escaped_sql(x: str) -> str:
@@ -79,6 +87,16 @@ def _escaped_sql(x: str) -> str:
 
 
 ORACLE_SQL = {
+    "op8_top_k": """
+        WITH e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        WHERE rank <= 10""",
     "op10_chat_format": f"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
