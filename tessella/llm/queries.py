@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, neardup, packing, pieces, pii, simhash, topk, toxicity, warc
+from tessella.llm import chat, neardup, packing, pieces, pii, simhash, substrings, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -76,7 +87,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op8_top_k": op8_top_k, "op9_near_vectors": op9_near_vectors, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_pack": op1_pack, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op7_repeats": op7_repeats, "op8_top_k": op8_top_k, "op9_near_vectors": op9_near_vectors, "op10_chat_format": op10_chat_format}
 
 
 def _escaped_sql(x: str) -> str:
