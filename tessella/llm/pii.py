@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -268,8 +269,6 @@ def redact(docs: DataFrame, field: SkipChainField, text_col: str = "text", only:
 
 
 def _redactor(field: SkipChainField, only: tuple[str, ...]):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else mask(t, [x for x in spans_of(t, field)[1] if x[0] in only]))

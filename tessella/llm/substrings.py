@@ -198,19 +198,20 @@ def _group_ids(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return np.array([NO_ID if i is None else i for i in ids], np.int64), [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_bytes, kept, spans)``: remaining bytes, and the removed runs as ``struct(start, end)``.
 
     Null and empty texts have no bytes; texts below ``least`` bytes stay; rows with equal ids never
     remove each other's bytes; a null id counts as larger than any other; an empty table gives an empty
-    one; very long texts are worked on in overlapping parts. Other columns are not read.
+    one; very long texts are worked on in overlapping parts. Of the other columns only those named in
+    ``carry`` are read, and returned beside the rest.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     groups = parts_for(total, GROUP_BYTES, 8)
     buckets = groups
-    dealt = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("gid"), "doc_id", "text").repartition(groups, "gid")
+    dealt = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("gid"), "*").repartition(groups, "gid")
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -380,9 +381,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edges = [0, *(x for s in spans for x in s), len(text)]
             out["kept"].append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if spans else text)
             out["spans"].append([{"start": s, "end": e} for s, e in spans])
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))})
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)} | {c: left.column(f"carried_{c}") for c in carry})
 
-    return dealt.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(apply, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return dealt.groupBy("gid").cogroup(answers.groupBy("gid")).applyInArrow(apply, f"doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>{carried}")
 
 
 _MESSAGE = {"bucket": pa.int32(), "gid": pa.int32(), "strings": pa.binary(), "lengths": pa.binary(), "ways": pa.binary(), "ids": pa.binary()}

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,3 +180,14 @@ def score_documents(docs: DataFrame, index: NearestLabelled, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<struct<id:long,label:int,cosine:double>>")
+
+
+def score_column(index: NearestLabelled):
+    """A column function from text to score, for filters on whole rows."""
+    heads = heads_of(index.vocabulary)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: index.score(term_counts(t or "", index.vocabulary, heads))[0])
+
+    return scored
