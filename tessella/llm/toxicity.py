@@ -26,6 +26,7 @@ from tessella.llm.common import id_and_text
 MAX_EXAMPLES = 6000  # bound of the labelled sample that the index is fitted on
 VOCABULARY = 128
 LEAST_DOCS = 3
+LEAST_CHI = 24.0  # weaker associations are chance among so many terms
 NEIGHBOURS = 16
 PRIOR_WEIGHT = 0.5
 THRESHOLD = 0.3
@@ -137,7 +138,7 @@ def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     chi = (a * (n - p) - b * p) ** 2 / ((a + b) * (n - a - b + 1))
     chosen = (
         rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((a + b >= LEAST_DOCS) & (a * (n - p) > b * p)).orderBy(chi.desc(), "term").limit(vocabulary_size).collect()
+        .where((a + b >= LEAST_DOCS) & (a * (n - p) > b * p) & (chi * n / max(1, p * (n - p)) >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(vocabulary_size).collect()
     )
     vocabulary = {r["term"]: k for k, r in enumerate(chosen)}
     heads = heads_of(vocabulary)
