@@ -1,4 +1,9 @@
 """All registered queries and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from tessella.plans import descriptor_queries
+
+_MODULES = [descriptor_queries]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
