@@ -35,6 +35,7 @@ NAME_K, ROUTE_K = 20, 8
 GROUP_BYTES = 12_000_000
 BUFFER = 1 << 20
 CHUNK = 1_500_000  # bytes of strings that are sorted together
+LEADING, PACKED = 5, 21  # bytes of the first sort key; bits of a rank or place in a packed one
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than any other
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -101,6 +102,37 @@ def _breaks(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+def _leading(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The first ``LEADING`` bytes of each suffix as a number, zeros behind the string's end."""
+    out = np.zeros(len(text), np.int64)
+    for i in range(LEADING):
+        out <<= 8
+        if i < len(text):
+            out[: len(text) - i] |= np.where(left[: len(text) - i] > i, text[i:], 0)
+    return out
+
+
+def _ranked(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes by (high, low), and dense ranks with one more at the end; rank 0 is (0, 0).
+
+    Up to ``PACKED`` bits a part, key and place share one word, which sorts several times faster.
+    """
+    n = len(high)
+    if n < 1 << PACKED and not low.any():  # the leading bytes alone
+        both = np.sort(high << PACKED | np.arange(n))
+        order, key = both & (1 << PACKED) - 1, both >> PACKED
+    elif n < 1 << PACKED:
+        both = np.sort(high << 2 * PACKED | low << PACKED | np.arange(n))
+        order, key = both & (1 << PACKED) - 1, both >> PACKED
+    else:
+        order = np.lexsort((low, high))
+        key = np.stack((high[order], low[order]), axis=1)
+    new = (key[1:] != key[:-1]) if key.ndim == 1 else (key[1:] != key[:-1]).any(axis=1)
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = np.cumsum(np.concatenate(([bool(key[0].any())], new)))
+    return order, rank
+
+
 def shared_prefixes(strings: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of equal windows: string, offset and class of each window of ``least`` bytes, by class.
 
@@ -112,27 +144,15 @@ def shared_prefixes(strings: list[bytes], least: int = LEAST) -> tuple[np.ndarra
     n = len(text)
     ends = np.repeat(np.cumsum(lengths), lengths)
     left = ends - np.arange(n)  # bytes up to the string's end
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    key = np.ascontiguousarray(np.ndarray((n,), ">u8", padded.tobytes(), strides=(1,))).astype(np.uint64)
-    short = left < 8
-    key[short] &= ~((np.uint64(1) << (np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64)))) - np.uint64(1))
-    span, end = 8, n  # place n stands for everything behind an end
-
-    def ranked(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="quicksort")
-        k = key[order]
-        rank = np.empty(n + 1, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([key.dtype.type(0) != k[0]], k[1:] != k[:-1])))
-        rank[end] = 0
-        return rank
-
-    rank = ranked(key)
+    end = n  # this place stands for everything behind an end
     place = np.arange(n)
+    order, rank = _ranked(_leading(text, left), np.zeros(n, np.int64))
+    span = LEADING
     while span < least:
-        after = rank[np.where(left > span, place + span, end)].astype(np.uint64)
-        rank = ranked(rank[:n].astype(np.uint64) << np.uint64(32) | after)
+        after = rank[np.where(left > span, place + span, end)]
+        order, rank = _ranked(rank[:n], after)
         span *= 2
-    order = np.concatenate(([end], np.argsort(rank[:n], kind="stable"))).astype(np.int32)  # suffix array
+    order = np.concatenate(([end], order)).astype(np.int32)  # suffix array
     row = np.empty(n + 1, np.int32)
     row[order] = np.arange(n + 1, dtype=np.int32)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -141,6 +161,7 @@ def shared_prefixes(strings: list[bytes], least: int = LEAST) -> tuple[np.ndarra
     symbol = np.append(text, 0)[order]
     before = np.where(extends[order], np.append(0, text)[order], 0).astype(np.uint8)  # the transform
     can = extends[order]
+    backward = row[order - 1]  # the row of the suffix that is one byte longer
     last = left == 1  # these are extended from the row behind the ends
     # level 1: intervals of single bytes
     cut = np.zeros(n + 2, bool)
@@ -151,7 +172,8 @@ def shared_prefixes(strings: list[bytes], least: int = LEAST) -> tuple[np.ndarra
         if not len(fresh):
             break
         bounds = np.flatnonzero(cut)
-        parent = np.unique(np.searchsorted(bounds, fresh, side="right") - 1)
+        parent = np.searchsorted(bounds, fresh, side="right") - 1
+        parent = parent[_breaks(parent)]
         lo, hi = bounds[parent], bounds[parent + 1]
         cut[fresh] = True
         size = hi - lo
@@ -161,17 +183,17 @@ def shared_prefixes(strings: list[bytes], least: int = LEAST) -> tuple[np.ndarra
         keep = can[rows]
         if lo[0] == 0 and len(tails):  # the row behind the ends stands before every string's last byte
             rows, family, child = (np.concatenate(x) for x in ((np.full(len(tails), -1), rows[keep]), (np.zeros(len(tails), np.int64), family[keep]), (np.full(len(tails), child[0]), child[keep])))
-            letter, image = np.concatenate((text[tails], before[rows[len(tails) :]])), np.concatenate((row[tails], row[order[rows[len(tails) :]] - 1]))
+            letter, image = np.concatenate((text[tails], before[rows[len(tails) :]])), np.concatenate((row[tails], backward[rows[len(tails) :]]))
         else:
             rows, family, child = rows[keep], family[keep], child[keep]
-            letter, image = before[rows], row[order[rows] - 1]
+            letter, image = before[rows], backward[rows]
         by = np.argsort(letter, kind="stable")
         letter, family, child, image = letter[by], family[by], child[by], image[by]
         run = _breaks(letter, family, child)
         lowest = np.minimum.reduceat(image, run).astype(np.int64) if len(run) else np.empty(0, np.int64)
         letter, family = letter[run], family[run]
         fresh = lowest[1:][(letter[1:] == letter[:-1]) & (family[1:] == family[:-1])]
-        fresh = np.unique(fresh[~cut[fresh]])
+        fresh = np.sort(fresh[~cut[fresh]])
     cut[fresh] = True
     group = np.cumsum(cut[: n + 1])
     at = order[1:].astype(np.int64)
