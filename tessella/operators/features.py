@@ -1,12 +1,22 @@
-"""Targets, feature tables, imputation, weighted ridge, selection rules and nested validation."""
+"""Targets, feature tables, imputation, organisation-weighted ridge, selection rules, nested validation.
+
+A ridge fit needs only weighted first and second moments. They are one grouped aggregate over the
+training rows, whatever the number of fits; the small normal equations are solved for all penalties
+on the driver, and predictions are a join with the coefficients.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import descriptors
 
+LAMBDAS = [10.0**k for k in range(-4, 5)]
+SUMMARIES = ["acc", "conf", "over", "rel10", "r50", "ece10", "brier", "h", "margin"]
+PACKAGES = {"base": ["acc"], "confidence": ["acc", "conf", "over"], "calibration": ["acc", "conf", "over", "rel10", "r50"], "summaries": SUMMARIES}
+
 
 def score_targets(obs: DataFrame) -> DataFrame:
     """``model_id, org_id, y_cal, y_sel, n_valid, k_selected`` on the second benchmark."""
@@ -14,3 +24,124 @@ def score_targets(obs: DataFrame) -> DataFrame:
     risk = descriptors.ranked_risk(obs, by).select(*by, F.col("r50").alias("y_sel"))
     n = obs.groupBy(*by).agg(F.count("*").alias("n_valid")).withColumn("k_selected", F.floor((F.col("n_valid") + 1) / 2))
     return n.join(risk, by).join(descriptors.calibration(obs, by).select(*by, F.col("rel10").alias("y_cal")), by)
+
+
+def summaries(obs: DataFrame) -> DataFrame:
+    """The nine summaries of each model, and its organisation."""
+    by = ["model_id", "org_id"]
+    out = descriptors.means(obs, by).join(descriptors.calibration(obs, by), by)
+    return out.join(descriptors.ranked_risk(obs, by).select(*by, "r50"), by).select(*by, *SUMMARIES)
+
+
+def group_weights(rows: DataFrame, by: list[str], org: str = "org_id") -> DataFrame:
+    """Adds ``v`` = 1 / (organisations x rows of the organisation), so that every organisation weighs the same."""
+    sizes = rows.groupBy(*by, org).agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumn("_g", F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))))
+    return rows.join(sizes, [*by, org]).withColumn("v", F.lit(1.0) / (F.col("_g") * F.col("_n"))).drop("_n", "_g")
+
+
+def medians(rows: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """Exact training medians; 0 where a feature is missing in all rows."""
+    return rows.groupBy(*by).agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"med_{f}") for f in features])
+
+
+def impute(rows: DataFrame, med: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in features]
+    return rows.join(med, by).select(*rest, *[F.coalesce(f, f"med_{f}").alias(f) for f in features])
+
+
+def moments(rows: DataFrame, by: list[str], features: list[str], targets: list[str]) -> DataFrame:
+    """Weighted moments of features and targets, one row per fit."""
+    v = F.col("v")
+    cols = [*features, *targets]
+    first = [F.sum(v * F.col(c)).alias(f"m_{c}") for c in cols]
+    second = [F.sum(v * F.col(a) * F.col(b)).alias(f"q_{a}__{b}") for i, a in enumerate(features) for b in [*features[i:], *targets]]
+    return rows.groupBy(*by).agg(*first, *second)
+
+
+def ridge_fits(rows: DataFrame, by: list[str], packages: dict[str, list[str]], targets: list[str], lambdas: list[float]) -> DataFrame:
+    """``by, package, target, lam, intercept, coef``: coefficients on raw features, in order of all features.
+
+    ``rows`` carry the weight ``v``. Columns of no spread get no coefficient; the intercept is not penalised.
+    """
+    features = sorted({f for fs in packages.values() for f in fs})
+    out = []
+    for r in moments(rows, by, features, targets).collect():  # one row per fit
+        mu = {c: r[f"m_{c}"] for c in [*features, *targets]}
+        q = lambda a, b: r[f"q_{a}__{b}"] if f"q_{a}__{b}" in r.asDict() else r[f"q_{b}__{a}"]  # noqa: E731, B023
+        for name, fs in packages.items():
+            cov = np.array([[q(a, b) - mu[a] * mu[b] for b in fs] for a in fs])
+            sd = np.sqrt(np.maximum(np.diag(cov), 0))
+            on = sd > 1e-12
+            z = cov[np.ix_(on, on)] / np.outer(sd[on], sd[on])
+            for t in targets:
+                zy = np.array([q(a, t) - mu[a] * mu[t] for a in fs])[on] / sd[on]
+                for lam in lambdas:
+                    beta = np.linalg.solve(z + lam * np.eye(on.sum()), zy) if on.any() else np.empty(0)
+                    raw = dict(zip([f for f, k in zip(fs, on) if k], beta / sd[on]))
+                    intercept = mu[t] - sum(raw[f] * mu[f] for f in raw)
+                    out.append((*[r[c] for c in by], name, t, float(lam), float(intercept), [float(raw.get(f, 0.0)) for f in features]))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    return rows.sparkSession.createDataFrame(out, f"{kinds}{', ' if by else ''}package string, target string, lam double, intercept double, coef array<double>")
+
+
+def predict(rows: DataFrame, fits: DataFrame, by: list[str], packages: dict[str, list[str]]) -> DataFrame:
+    """``rows`` with ``package, target, lam, pred`` for every fit of their group; clipped to [0, 1]."""
+    features = sorted({f for fs in packages.values() for f in fs})
+    dot = F.aggregate(F.zip_with(F.array(*features), "coef", lambda x, b: x * b), F.lit(0.0), lambda s, x: s + x)
+    joined = rows.join(F.broadcast(fits), by) if by else rows.crossJoin(F.broadcast(fits))  # one row per fit
+    return joined.withColumn("pred", F.least(F.greatest(F.col("intercept") + dot, F.lit(0.0)), F.lit(1.0))).drop("intercept", "coef", *features)
+
+
+def group_mse(preds: DataFrame, by: list[str], truth: str = "truth") -> DataFrame:
+    """Mean over organisations of their mean squared errors."""
+    per = preds.groupBy(*by, "org_id").agg(F.avg(F.pow(F.col(truth) - F.col("pred"), 2)).alias("mse"))
+    return per.groupBy(*by).agg(F.avg("mse").alias("loss"), F.count("*").alias("n_orgs"))
+
+
+def select_configuration(losses: DataFrame, by: list[str]) -> DataFrame:
+    """The configuration within 1e-12 of the lowest loss: the larger penalty among ridge fits."""
+    low = losses.withColumn("_low", F.min("loss").over(Window.partitionBy(*by)))
+    w = Window.partitionBy(*by).orderBy(F.col("lam").desc())
+    return low.where("loss <= _low + 1e-12D").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_low", "_rn")
+
+
+def select_package(losses: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first package, in registry order, within 1e-12 of the lowest loss; the baseline comes first."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("package"))
+    low = losses.withColumn("_low", F.min("loss").over(Window.partitionBy(*by)))
+    w = Window.partitionBy(*by).orderBy(place)
+    return low.where("loss <= _low + 1e-12D").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_low", "_rn")
+
+
+def long_truth(preds: DataFrame, targets: list[str]) -> DataFrame:
+    truth = F.lit(None).cast("double")
+    for t in targets:
+        truth = F.when(F.col("target") == t, F.col(t)).otherwise(truth)
+    return preds.withColumn("truth", truth).drop(*targets)
+
+
+def nested_validation(table: DataFrame, contexts: DataFrame, packages: dict[str, list[str]] = PACKAGES, targets: tuple[str, ...] = ("y_cal", "y_sel"), lambdas: list[float] = LAMBDAS) -> tuple[DataFrame, DataFrame]:
+    """Organisation-held-out predictions ``(model_id, org_id, outer, package, target, truth, pred)`` and the chosen penalties.
+
+    ``contexts`` gives ``context, outer, inner, org_id, role``. Penalties are chosen by the loss pooled
+    over the inner validation folds; the chosen fit on the outer training rows predicts the outer fold.
+    """
+    features, goals = sorted({f for fs in packages.values() for f in fs}), list(targets)
+    keyed = table.join(F.broadcast(contexts.select("context", "outer", "inner", "org_id", "role")), "org_id")
+    train = keyed.where("role = 'reference'")
+    med = medians(train, ["context"], features)
+    fits = ridge_fits(group_weights(impute(train, med, ["context"], features), ["context"]), ["context"], packages, goals, lambdas)
+    scored = impute(keyed.where("role = 'scored'"), med, ["context"], features).drop("role")
+    preds = long_truth(predict(scored, fits, ["context"], packages), goals)
+    pooled = group_mse(preds.where("inner IS NOT NULL"), ["outer", "package", "target", "lam"])
+    chosen = select_configuration(pooled, ["outer", "package", "target"]).select("outer", "package", "target", "lam", "loss")
+    out = preds.where("inner IS NULL").join(F.broadcast(chosen.drop("loss")), ["outer", "package", "target", "lam"])
+    return out.select("model_id", "org_id", "outer", "package", "target", "truth", "pred"), chosen
+
+
+def linear_baseline(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """``by, slope, intercept`` of y on x; null where x does not vary."""
+    var = F.var_pop(x)
+    slope = F.covar_pop(x, y) / F.when(var > 1e-12, var)
+    return rows.groupBy(*by).agg(slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"))
