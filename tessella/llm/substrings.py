@@ -32,9 +32,10 @@ from tessella.llm.common import fresh_path, parts_for
 
 LEAST = 50
 NAME_K, ROUTE_K = 20, 8
-GROUP_BYTES = 12_000_000
-BUFFER = 1 << 20
-CHUNK = 1_500_000  # bytes of strings that are sorted together
+GROUP_BYTES = 4_000_000  # of text in a group of documents
+NAME_BYTES, ROUTE_BYTES = 16_000_000, 8_000_000  # of text whose names, or strings, share a bucket
+BUFFER = 1 << 19
+CHUNK = 1_000_000  # bytes of strings that are sorted together
 LEADING, PACKED = 5, 21  # bytes of the first sort key; bits of a rank or place in a packed one
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than any other
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -232,7 +233,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     groups = parts_for(total, GROUP_BYTES, 8)
-    buckets = groups
+    name_buckets, buckets = parts_for(total, NAME_BYTES, 8), parts_for(total, ROUTE_BYTES, 8)
     dealt = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("gid"), "*").repartition(groups, "gid")
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +256,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first = _breaks(name)
             several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
             sent = name[first] << np.uint64(1) | several.astype(np.uint64)
-            edge = np.searchsorted(sent, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
+            edge = np.searchsorted(sent, (np.arange(1, name_buckets, dtype=np.float64) * (2.0**64 / name_buckets)).astype(np.uint64))
             blocks = np.split(sent, edge)
-            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([g] * buckets, pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["bucket", "gid", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(name_buckets), pa.int32()), pa.array([g] * name_buckets, pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["bucket", "gid", "block"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -331,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out[k].append(v)
         return pa.table({k: pa.array(v, _MESSAGE[k]) for k, v in out.items()})
 
-    blocks = dealt.mapInArrow(names, "bucket int, gid int, block binary").repartition(buckets, "bucket")
+    blocks = dealt.mapInArrow(names, "bucket int, gid int, block binary").repartition(name_buckets, "bucket")
     again = blocks.mapInArrow(shared, "gid int, block binary")
     sent = dealt.groupBy("gid").cogroup(again.groupBy("gid")).applyInArrow(strings, "bucket int, gid int, strings binary, lengths binary, ways binary, ids binary")
     path = fresh_path(spark, "strings")
