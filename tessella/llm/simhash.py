@@ -24,7 +24,7 @@ from tessella.llm.components import connected_components
 
 SEED = 42
 BLOCKS = 4
-ROWS_A_PART = 1_500_000
+ROWS_A_PART = 1_000_000
 
 
 def fingerprint(text: str, words_each: int = 3) -> int:
@@ -85,7 +85,8 @@ def _forest(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
 def links(distinct: DataFrame, n_rows: int, radius: int = 3, blocks: int = BLOCKS) -> DataFrame:
     """Verified links ``(a, b)`` that connect all fingerprints within ``radius`` (3 at most)."""
     assert radius <= 3, "balls of radius 1 with one masked block reach 3 bits"
-    emitted = distinct.select("fp", F.explode(_variants(blocks)).alias("variant"))
+    spread = distinct.repartition(parts_for(n_rows, 20_000, 8), "fp")
+    emitted = spread.select("fp", F.explode(_variants(blocks)).alias("variant"))
     dealt = emitted.repartition(parts_for(n_rows * (64 + blocks), ROWS_A_PART, 8), "variant")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
