@@ -98,6 +98,24 @@ def _escaped_sql(x: str) -> str:
 
 
 ORACLE_SQL = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT *, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS head FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::INT >> (5 * (3 - i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,
+            CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> head THEN head END AS refers_to FROM d""",
+    "op9_near_vectors": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach AS (SELECT a AS node, a AS root FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a),
+        c AS (SELECT node AS vec_id, min(root) AS component_id FROM reach GROUP BY node)
+        SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+        FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
     "op8_top_k": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
