@@ -38,11 +38,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 4 MB, as rows differ in length by orders; a size set in the session stays."""
+    if str(spark.conf.get(ARROW_BYTES, "")).rstrip("bB") in ("67108864", "64M"):
+        spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
+
+
+def write_and_forget(df: DataFrame, path: str) -> DataFrame:
+    """Write a table between two jobs, free the first job's shuffle files, and read the table."""
+    spark = df.sparkSession
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.parquet(path)
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, so that extra or clashing columns never matter.
 
     A null text becomes the empty text; a null id stays null.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

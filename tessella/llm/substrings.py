@@ -21,6 +21,7 @@ costs one entry per group. Blocks of bytes, not rows per position, are shuffled.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fresh_path, parts_for
+from tessella.llm.common import bounded_batches, fresh_path, parts_for, write_and_forget
 
 LEAST = 50
 NAME_K, ROUTE_K = 20, 8
-GROUP_BYTES = 4_000_000  # of text in a group of documents
+GROUP_BYTES = 8_000_000  # of text in a group of documents
 NAME_BYTES, ROUTE_BYTES = 16_000_000, 8_000_000  # of text whose names, or strings, share a bucket
 BUFFER = 1 << 19
 CHUNK = 1_000_000  # bytes of strings that are sorted together
@@ -230,6 +231,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``carry`` are read, and returned beside the rest.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     groups = parts_for(total, GROUP_BYTES, 8)
@@ -287,7 +289,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ids, texts = _group_ids(left)
         known = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in right.column("block").to_pylist()]))
         number: dict[bytes, int] = {}
-        route, low, occurrences = [], [], []
+        route, low, occurrences = [], [], array("q")
         for data, place, doc, start in _buffers(texts, least):
             name = window_names(data, NAME_K, least)[place] >> np.uint64(1)
             first = _breaks(name)
@@ -313,7 +315,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     low.append(ids[d])
                 elif ids[d] < low[k]:
                     low[k] = ids[d]
-                occurrences.append((d, s, k))
+                occurrences.extend((d, s, k))
         ways, lows, all_strings = np.array(route, np.uint64), np.array(low, np.int64), list(number)
         bucket = (ways % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((ways, bucket))
@@ -335,9 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = dealt.mapInArrow(names, "bucket int, gid int, block binary").repartition(name_buckets, "bucket")
     again = blocks.mapInArrow(shared, "gid int, block binary")
     sent = dealt.groupBy("gid").cogroup(again.groupBy("gid")).applyInArrow(strings, "bucket int, gid int, strings binary, lengths binary, ways binary, ids binary")
-    path = fresh_path(spark, "strings")
-    sent.write.parquet(path)
-    messages = spark.read.parquet(path)
+    messages = write_and_forget(sent, fresh_path(spark, "strings"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
