@@ -44,7 +44,7 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def bounded_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of 4 MB, as rows differ in length by orders; a size set in the session stays."""
-    if str(spark.conf.get(ARROW_BYTES, "")).rstrip("bB") in ("67108864", "64M"):
+    if str(spark.conf.get(ARROW_BYTES)).rstrip("bB") in ("67108864", "64M"):
         spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
 
 
