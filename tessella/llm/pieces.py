@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from tessella.llm.common import id_and_text
 
 MARK = "▁"
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 800_000
 PAIR_ENTRIES = 1_000_000
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
