@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpoint, id_and_text, parts_for
+from tessella.llm.common import checkpoint, id_and_text, parts_for, trim_memory
 from tessella.llm.components import connected_components
 
 SEED = 42
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             fps = np.array([fingerprint(t, words_each) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        trim_memory()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(compute, "doc_id long, fp long")
 

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import bounded_batches, fresh_path, parts_for, write_and_forget
+from tessella.llm.common import bounded_batches, fresh_path, parts_for, trim_memory, write_and_forget
 
 LEAST = 50
 NAME_K, ROUTE_K = 20, 8
 GROUP_BYTES = 8_000_000  # of text in a group of documents
 NAME_BYTES, ROUTE_BYTES = 16_000_000, 8_000_000  # of text whose names, or strings, share a bucket
-BUFFER = 1 << 19
+BUFFER = 1 << 17
 CHUNK = 1_000_000  # bytes of strings that are sorted together
 LEADING, PACKED = 5, 21  # bytes of the first sort key; bits of a rank or place in a packed one
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than any other
@@ -248,10 +248,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for data, place, doc, _ in _buffers(texts, least):
                     name = window_names(data, NAME_K, least)[place]
                     first = _breaks(name, doc)
-                    held.setdefault(g, []).append((name[first], doc[first] + seen))
+                    held.setdefault(g, []).append((name[first], (doc[first] + seen).astype(np.uint32)))
                 seen += len(texts)
-        for g, parts in held.items():
-            name, doc = (np.concatenate(x) for x in zip(*parts))
+                del texts
+        for g in list(held):
+            name, doc = (np.concatenate(x) for x in zip(*held.pop(g)))
             name >>= np.uint64(1)
             order = np.argsort(name, kind="stable")
             name, doc = name[order], doc[order]
@@ -261,6 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edge = np.searchsorted(sent, (np.arange(1, name_buckets, dtype=np.float64) * (2.0**64 / name_buckets)).astype(np.uint64))
             blocks = np.split(sent, edge)
             yield pa.RecordBatch.from_arrays([pa.array(range(name_buckets), pa.int32()), pa.array([g] * name_buckets, pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["bucket", "gid", "block"])
+        trim_memory()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -332,6 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sizes = np.array([len(all_strings[i]) for i in order.tolist()], np.uint16)
         for k, v in zip(_MESSAGE, (-1, gid, zlib.compress(o.tobytes(), 1), sizes.tobytes(), np.unique(bucket).tobytes(), np.array([(bucket == b).sum() for b in np.unique(bucket)], np.int64).tobytes())):
             out[k].append(v)
+        trim_memory()
         return pa.table({k: pa.array(v, _MESSAGE[k]) for k, v in out.items()})
 
     blocks = dealt.mapInArrow(names, "bucket int, gid int, block binary").repartition(name_buckets, "bucket")
