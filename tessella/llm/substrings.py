@@ -34,9 +34,9 @@ from tessella.llm.common import bounded_batches, fresh_path, parts_for, trim_mem
 LEAST = 50
 NAME_K, ROUTE_K = 20, 8
 GROUP_BYTES = 8_000_000  # of text in a group of documents
-NAME_BYTES, ROUTE_BYTES = 16_000_000, 8_000_000  # of text whose names, or strings, share a bucket
+NAME_BYTES, ROUTE_BYTES = 4_000_000, 6_000_000  # of text whose names, or strings, share a bucket
 BUFFER = 1 << 17
-CHUNK = 1_000_000  # bytes of strings that are sorted together
+CHUNK = 700_000  # bytes of strings that are sorted together
 LEADING, PACKED = 5, 21  # bytes of the first sort key; bits of a rank or place in a packed one
 NO_ID = np.iinfo(np.int64).max  # a null id counts as larger than any other
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -269,7 +269,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for b, g, block in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault(b, []).append((g, np.frombuffer(block, np.uint64)))
-        for parts in held.values():
+        for b in list(held):
+            parts = held.pop(b)
             name = np.concatenate([x for _, x in parts])
             group = np.repeat([g for g, _ in parts], [len(x) for _, x in parts])
             order = np.argsort(name, kind="stable")
