@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm import packing, pii, simhash, substrings, toxicity
 from tessella.llm.common import fresh_path
@@ -42,7 +43,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _sized(left.withColumn("text", _decoded("kept")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a type object: parsing a name would need a session at import
 def _decode(kept: pd.Series) -> pd.Series:
     return kept.map(lambda b: b.decode("utf-8", "ignore"))
 

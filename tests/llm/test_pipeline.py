@@ -1,6 +1,9 @@
 """The corpus pipeline's stages on the small tables and on odd rows."""
 
+import os
 import re
+import subprocess
+import sys
 
 import pytest
 
@@ -15,6 +18,11 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def test_entry_imports_without_a_session():
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'pipeline' in e.queries() and e.oracle_sql()"], cwd=os.path.dirname(p.__file__), capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_stages_are_in_order():
     assert [n for n, _ in p.STAGES] == ["toxicity", "near_copies", "repeated_passages", "personal_data", "packing"]
     assert p.ORACLE_SQL is None
