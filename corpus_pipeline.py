@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm import packing, pii, simhash, substrings, toxicity
+from tessella.llm import packing, pii, shingles, substrings, toxicity
 from tessella.llm.common import fresh_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,9 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows without an id can't be named and stay."""
+    """The document with the smallest id of each group of texts that links of similarity 0.8 or more join.
+
+    Similarity is the Jaccard similarity of five-word shingles. Rows without an id can't be named and stay.
+    """
     named = docs.where("doc_id IS NOT NULL")
-    found = simhash.near_duplicates(named)
+    found = shingles.near_copies(named)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     first = named.select(*COLUMNS).join(kept, "doc_id").dropDuplicates(["doc_id"])
     return first.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
