@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -35,15 +36,28 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """Ids of the added tokens of ``byte_bpe_50k.json``, all of which are matched as they stand."""
+    with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    assert not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found)
+    return {t["content"]: t["id"] for t in found}
+
+
 class WordTokenizer:
-    """Byte-level BPE ids of whole texts, with a bounded memo of chunks. Special strings are ordinary text.
+    """Byte-level BPE ids of whole texts, with a bounded memo of chunks.
 
-    The ranks are the vocabulary of ``byte_bpe_50k.json``; a test holds the ids against that file's tokenizer.
+    Texts are first split at the added tokens of ``byte_bpe_50k.json``, which have ids of their own. The ranks
+    are the vocabulary of that file; a test holds the ids against its tokenizer.
     """
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES, added: dict[str, int] | None = None):
         import tiktoken
 
+        added = added_tokens() if added is None else added
+        self.added = {t: array("I", [i]).tobytes() for t, i in added.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else None
+
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -52,6 +66,11 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.split is None or not any(t in text for t in self.added):
+            return self._plain(text)
+        return b"".join(self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(self.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         chunks = _CHUNK.findall(text)
         get = self.memo.get
         out = [get(c) for c in chunks]
@@ -145,10 +164,11 @@ def pack_documents(
     are unique in the result and made of the task's number and a count. Other columns are not read.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+    added = added_tokens()
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = WordTokenizer(path, added=added)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         held: list[tuple] = []  # doc_id, start, end, ids, doc_tokens
         amount, out = 0, []

@@ -53,6 +53,20 @@ def test_packing_covers_every_id_once(mixed):
         assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= 1024
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark}x  {mark}\n\n y", "<|endoftext|", f"don't{mark} \n", f"<|{mark}|>", mark.upper(), f"{PROSE[3]} {mark} {PROSE[4]}"]
+    got = packing.pack_documents(documents(spark, texts)).toPandas().sort_values("start")
+    for i, t in enumerate(texts):
+        part = got[got["doc_id"] == i]
+        want = reference.encode(t, add_special_tokens=False).ids + [0]
+        assert np.frombuffer(b"".join(part["ids"]), "<u4").tolist() == want
+        assert (part["doc_tokens"] == len(want)).all()
+
+
 def test_packing_pads_little(spark):
     got = packing.pack_documents(documents(spark, [" ".join(RNG.choice(WORDS) for _ in range(RNG.randint(5, 900))) for _ in range(300)])).toPandas()
     assert got["length"].sum() / (1024 * got["sequence_id"].nunique()) > 0.97
