@@ -24,7 +24,7 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the index is fitted on a bounded labelled sample of them."""
-    index = toxicity.fit(toxicity.bounded_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    index = toxicity.fit(toxicity.bounded_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), corpus=docs)
     return docs.select(*COLUMNS).where(toxicity.score_column(index)(F.col("text")) < toxicity.THRESHOLD)
 
 

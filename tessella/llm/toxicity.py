@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings of 3 to 5 characters; those most associated with label 1 (by
-chi-square over the fitting sample) make the vocabulary. Labelled examples are kept in blocks of an
+Terms are words and word beginnings of 3 to 5 characters; all that are associated with either label
+beyond chance (by chi-square over the fitting sample) make the vocabulary, and weights and norms are
+over these terms. Document frequencies are those of all documents where these are given. Labelled examples are kept in blocks of an
 inverted index with the largest impact of every term in each block. A text's cosine with any example
 of a block is at most the sum of its own weights times these impacts, so blocks are visited by
 falling bound until no bound reaches the k-th best cosine: the k nearest are exact. Votes weighted by
@@ -21,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import id_and_text
+from tessella.llm.common import bounded_batches, id_and_text
 
 MAX_EXAMPLES = 6000  # bound of the labelled sample that the index is fitted on
-VOCABULARY = 128
 LEAST_DOCS = 3
 LEAST_CHI = 24.0  # weaker associations are chance among so many terms
 NEIGHBOURS = 16
@@ -63,7 +63,7 @@ class NearestLabelled:
     idf: np.ndarray
     ids: np.ndarray  # of the examples, in index order
     labels: np.ndarray
-    postings: list[list[tuple[np.ndarray, np.ndarray]]]  # by block and term: places in the block, impacts
+    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]  # by block and term: places in the block, impacts
     impacts: np.ndarray  # largest by block and term
     base: float  # rate of label 1 among examples without any term
     neighbours: int = NEIGHBOURS
@@ -78,12 +78,12 @@ class NearestLabelled:
         vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[1], v[0]))
         postings, impacts = [], np.zeros((-(-len(vectors) // BLOCK), len(vocabulary)))
         for b in range(len(impacts)):
-            lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
+            lists: dict[int, list[tuple[int, float]]] = {}
             for place, (_, _, terms, w) in enumerate(vectors[b * BLOCK : (b + 1) * BLOCK]):
                 for t, x in zip(terms.tolist(), w.tolist()):
-                    lists[t].append((place, x))
-            postings.append([(np.array([p for p, _ in li], np.int64), np.array([x for _, x in li])) for li in lists])
-            impacts[b] = [max((x for _, x in li), default=0.0) for li in lists]
+                    lists.setdefault(t, []).append((place, x))
+            postings.append({t: (np.array([p for p, _ in li], np.int64), np.array([x for _, x in li])) for t, li in lists.items()})
+            impacts[b, list(lists)] = [max(x for _, x in li) for li in lists.values()]
         return cls(vocabulary, idf, np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], np.int64), postings, impacts, base)
 
     @staticmethod
@@ -102,8 +102,9 @@ class NearestLabelled:
                 break
             scores = np.zeros(BLOCK)
             for t, x in zip(terms.tolist(), w.tolist()):
-                at, impact = self.postings[b][t]
-                scores[at] += impact * x
+                if t in self.postings[b]:
+                    at, impact = self.postings[b][t]
+                    scores[at] += impact * x
             hit = np.flatnonzero(scores)
             places, cosines = np.concatenate((places, hit + b * BLOCK)), np.concatenate((cosines, scores[hit]))
             best = np.lexsort((places, -cosines.round(12)))[: self.neighbours]
@@ -120,8 +121,11 @@ class NearestLabelled:
         return float(min(1.0, max(0.0, score))), list(zip(self.ids[places].tolist(), self.labels[places].tolist(), cosines.tolist()))
 
 
-def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", vocabulary_size: int = VOCABULARY) -> NearestLabelled:
-    """The index over ``examples``, which must be bounded (see ``bounded_sample``); ids only name the evidence."""
+def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", corpus: DataFrame | None = None) -> NearestLabelled:
+    """The index over ``examples``, which must be bounded (see ``bounded_sample``); ids only name the evidence.
+
+    ``corpus`` gives the document frequencies, over all its rows; without it they are those of the examples.
+    """
     rows = examples.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +142,7 @@ def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     chi = (a * (n - p) - b * p) ** 2 / ((a + b) * (n - a - b + 1))
     chosen = (
         rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .where((a + b >= LEAST_DOCS) & (a * (n - p) > b * p) & (chi * n / max(1, p * (n - p)) >= LEAST_CHI)).orderBy(chi.desc(), "term").limit(vocabulary_size).collect()
+        .where((a + b >= LEAST_DOCS) & (chi * n / max(1, p * (n - p)) >= LEAST_CHI)).orderBy(chi.desc(), "term").collect()
     )
     vocabulary = {r["term"]: k for k, r in enumerate(chosen)}
     heads = heads_of(vocabulary)
@@ -149,7 +153,28 @@ def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int64()))], ["id", "y", "terms", "counts"])
 
     kept = rows.mapInArrow(vectors, "id long, y int, terms array<int>, counts array<long>").collect()
-    return NearestLabelled.build(vocabulary, np.array([r["pos"] + r["neg"] for r in chosen], float), n, [(r["id"] if r["id"] is not None else -1, r["y"], dict(zip(r["terms"], r["counts"]))) for r in kept])
+    doc_freq, n_docs = np.array([r["pos"] + r["neg"] for r in chosen], float), n
+    if corpus is not None:
+        doc_freq, n_docs = _document_frequencies(corpus, text_col, vocabulary)
+    return NearestLabelled.build(vocabulary, doc_freq, n_docs, [(r["id"] if r["id"] is not None else -1, r["y"], dict(zip(r["terms"], r["counts"]))) for r in kept])
+
+
+def _document_frequencies(corpus: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
+    """Number of rows of ``corpus`` with each term, and of all its rows: one grouped aggregate, a row per term."""
+    heads = heads_of(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = 0, Counter()
+        for batch in batches:
+            total += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                seen.update(term_counts(text, vocabulary, heads).keys())
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int32()), pa.array([total, *seen.values()], pa.int64())], ["term", "n"])
+
+    bounded_batches(corpus.sparkSession)
+    texts = corpus.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = {r["term"]: r["n"] for r in texts.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return np.array([found.get(k, 0) for k in range(len(vocabulary))], float), found.get(-1, 0)
 
 
 def is_held_out(id_col: str = "doc_id"):

@@ -223,6 +223,17 @@ def test_toxicity_finds_held_out_documents(labelled):
     assert all((s >= toxicity.THRESHOLD) == y for s, y in held) and all(0 <= s <= 1 for s, _ in held)
 
 
+def test_all_significant_terms_of_both_labels_are_kept(spark):
+    bad, good = [[f"{c}{w}q{k}" for k, w in enumerate(WORDS[:150])] for c in "xz"]
+    rows = [(i, " ".join(bad if i % 4 == 0 else good), int(i % 4 == 0)) for i in range(200)]
+    examples = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    corpus = documents(spark, [bad[0], f"{bad[0]} {good[0]}", None, "other", f"{bad[0]} {bad[0]}"])
+    index = toxicity.fit(examples, corpus=corpus)
+    assert {*bad, *good} <= index.vocabulary.keys()
+    idf = lambda t: index.idf[index.vocabulary[t]]
+    assert np.allclose([idf(bad[0]), idf(good[0]), idf(bad[1])], np.log(6 / np.array([4, 2, 1])) + 1)
+
+
 def test_blocks_give_the_exact_neighbours(labelled):
     rng = np.random.default_rng(3)
     vocabulary = {f"t{i}": i for i in range(40)}
