@@ -31,12 +31,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of texts that links of similarity 0.8 or more join.
 
-    Similarity is the Jaccard similarity of five-word shingles. Rows without an id can't be named and stay.
+    Similarity is the Jaccard similarity of five-word shingles. Rows are told apart by id and text, so different
+    texts under one id are judged each for itself. Rows without an id can't be named and stay.
     """
-    named = docs.where("doc_id IS NOT NULL")
+    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
     found = shingles.near_copies(named)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = named.select(*COLUMNS).join(kept, "doc_id").dropDuplicates(["doc_id"])
+    kept = found.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("head")).select("head.doc_id", "head.node")
+    first = named.withColumn("node", shingles.node_of("text")).join(kept, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"])
     return first.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 

@@ -88,14 +88,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return size.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
+def node_of(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, node, component_id)``: one row per document with the smallest id reachable by links.
+    """``(doc_id, node, class, component_id)``: one row per document with the smallest id reachable by links.
 
-    ``node`` is the hash of the text. Texts are read whole, case aside; null texts and those without words
+    ``node`` is the hash of the text, ``class`` the least node of its component. Texts are read whole, case aside; null texts and those without words
     are alike; repeated rows come out once each; a null id is kept and never names a component unless
     all ids of it are null; an empty table gives an empty one. Other columns are not read.
     """
-    rows = id_and_text(docs, id_col, text_col).withColumn("node", F.xxhash64("text"))
+    rows = id_and_text(docs, id_col, text_col).withColumn("node", node_of("text"))
     emitted = checkpoint(rows.select("node", "text").mapInArrow(_emit, "key long, node long"))
     ends = emitted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     met = checkpoint(emitted.join(ends, "key").distinct())
@@ -117,4 +121,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = ids.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("class"))
     heads = classes.groupBy("class").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(classes.join(heads, "class").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
+    return rows.select("doc_id", "node").join(classes.join(heads, "class").select("node", "class", "component_id"), "node").select("doc_id", "node", "class", "component_id")

@@ -61,3 +61,11 @@ def test_near_copies_of_the_small_table(spark, sf_dir):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     kept = {r["doc_id"] for r in p.drop_near_copies(spark, docs, sf_dir).collect()}
     assert kept == set(plain_heads(rows))
+
+
+def test_different_texts_under_one_id_both_stay(spark):
+    a, b, c = (" ".join(RNG.choice(WORDS) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, a), (0, c), (1, c), (3, edited(b, 1)), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in p.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(0, c), (1, a), (1, b), (None, b)], key=str)
