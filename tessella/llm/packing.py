@@ -15,6 +15,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,14 @@ from tessella.llm.common import id_and_text
 CAPACITY = 1024
 MAX_PIECE = 128
 GROUP_WINDOWS = 256
-MEMO_ENTRIES = 400_000
+LONG_SPACE = 20_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 # A space goes with the run of other characters behind it, as in the tokenizer's own pattern, so that
 # every chunk can be tokenized for itself. Unicode White_Space, which is not Python's \s.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_SPACES = re.compile(f"[{_WS}]{{{LONG_SPACE}}}")
 
 
 def added_tokens(path: str | None = None) -> dict[str, int]:
@@ -45,13 +47,14 @@ def added_tokens(path: str | None = None) -> dict[str, int]:
 
 
 class WordTokenizer:
-    """Byte-level BPE ids of whole texts, with a bounded memo of chunks.
+    """Byte-level BPE ids of whole texts.
 
     Texts are first split at the added tokens of ``byte_bpe_50k.json``, which have ids of their own. The ranks
-    are the vocabulary of that file; a test holds the ids against its tokenizer.
+    are the vocabulary of that file; a test holds the ids against its tokenizer. Very long runs of white space,
+    which the library's pattern can't match in its stack, are cut off and encoded as the one chunk they are.
     """
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES, added: dict[str, int] | None = None):
+    def __init__(self, path: str, added: dict[str, int] | None = None):
         import tiktoken
 
         added = added_tokens() if added is None else added
@@ -60,9 +63,8 @@ class WordTokenizer:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.memo: dict[str, bytes] = {}
-        self.entries = entries
+        coding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode, self.encode_chunk = coding.encode_ordinary, coding._encode_single_piece
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -71,18 +73,16 @@ class WordTokenizer:
         return b"".join(self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(self.split(text)))
 
     def _plain(self, text: str) -> bytes:
-        chunks = _CHUNK.findall(text)
-        get = self.memo.get
-        out = [get(c) for c in chunks]
-        if None in out:
-            new = list(dict.fromkeys(c for c, v in zip(chunks, out) if v is None))
-            if len(self.memo) + len(new) > self.entries:
-                self.memo.clear()
-            found = dict(zip(new, (array("I", self.encode(c)).tobytes() for c in new)))
-            out = [found[c] if v is None else v for c, v in zip(chunks, out)]
-            if len(new) <= self.entries:
-                self.memo.update(found)
-        return b"".join(out)
+        if len(text) < LONG_SPACE or not _SPACES.search(text):
+            return array("I", self.encode(text)).tobytes()
+        whole, one = self.encode, self.encode_chunk
+        return b"".join(array("I", one(c) if len(c) >= LONG_SPACE and _SPACES.match(c) else whole(c)).tobytes() for c in _CHUNK.findall(text))
+
+
+@lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python process, which outlives a task."""
+    return WordTokenizer(path)
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +164,10 @@ def pack_documents(
     are unique in the result and made of the task's number and a count. Other columns are not read.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    added = added_tokens()
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path, added=added)
+        tokenizer = shared_tokenizer(path)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         held: list[tuple] = []  # doc_id, start, end, ids, doc_tokens
         amount, out = 0, []
