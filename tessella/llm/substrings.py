@@ -1,21 +1,25 @@
 """Repeated-substring removal by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 A byte goes if it lies in a string of ``least`` bytes that also starts in a document with a smaller
-id. Documents are dealt into groups by id. Every window of ``least`` bytes is named by the least hash
-of the k-mers in it, so equal windows have equal names wherever they occur:
+id. Documents are dealt into groups by id and text, and put in order there by both, as Spark hands the
+rows of a group over in any order and a group is read twice. Every window of ``least`` bytes is named by
+the least hash of the k-mers in it, so equal windows have equal names wherever they occur:
 
 1. Each group sends the distinct names of its windows, as sorted binary blocks, to name buckets; a
    name that two documents share goes back to the groups that have it. All other windows are unique.
-2. Each group cuts its shared windows into maximal runs of one (shorter) name and sends the distinct
+2. Each group cuts its shared windows into maximal runs of one name and sends the distinct
    strings of these runs, with the smallest id of each, to buckets of that name.
-3. A bucket sorts the suffixes of its strings and starts from the interval of the empty string.
+3. A bucket keeps each distinct string once. It sorts the suffixes of a bounded amount of them at a time
+   (strings of one name stay together; a name with more is cut anew by names of longer k-mers, at last by
+   the windows themselves) and starts from the interval of the empty string.
    Breadth-first backward extension splits the intervals of c + w by those of w, which yields the
    common-prefix boundaries in increasing order; it stops at ``least``. Windows left together in an
    interval are equal, and the smallest id in the interval is sent back for each.
 4. Each group marks the bytes of windows whose smallest id is below the document's own.
 
 Copies within a group collapse before every shuffle, so a passage that very many documents share
-costs one entry per group. Blocks of bytes, not rows per position, are shuffled.
+costs one entry per group, which a bucket keeps as two numbers. Blocks of bytes, not rows per position,
+are shuffled.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import bounded_batches, fresh_path, parts_for, trim_memory, write_and_forget
 
 LEAST = 50
-NAME_K, ROUTE_K = 20, 8
+NAME_K = 20
+FINER_K = {20: 36, 36: LEAST}  # names of a share of the strings that is too large to sort at once
 GROUP_BYTES = 8_000_000  # of text in a group of documents
 NAME_BYTES, ROUTE_BYTES = 4_000_000, 6_000_000  # of text whose names, or strings, share a bucket
 BUFFER = 1 << 17
@@ -43,14 +48,14 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def _kmer_hash(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each k-mer (8 <= k <= 24), from its bytes alone."""
+    """A 64-bit hash of each k-mer (k >= 8), from its bytes alone."""
     n = len(data) - k + 1
     words = np.ascontiguousarray(np.ndarray((len(data) - 7,), "<u8", data.tobytes(), strides=(1,)))
     h = words[:n] * _MIX[0]
-    for i, at in enumerate(sorted({min(8, k - 8), k - 8} - {0})):
+    for i, at in enumerate(sorted({*range(8, k - 7, 8), k - 8} - {0})):
         h ^= h >> np.uint64(31)
         h += words[at : at + n]
-        h *= _MIX[i + 1]
+        h *= _MIX[1 + i % 2]
     h ^= h >> np.uint64(32)
     h *= _MIX[3]
     h ^= h >> np.uint64(29)
@@ -58,12 +63,12 @@ def _kmer_hash(data: np.ndarray, k: int) -> np.ndarray:
 
 
 def window_names(data: np.ndarray, k: int, least: int = LEAST) -> np.ndarray:
-    """The least k-mer hash in each window of ``least`` bytes."""
+    """The least k-mer hash in each window of ``least`` bytes, times an odd number, as least hashes are small."""
     m, size, width = _kmer_hash(data, k), 1, least - k + 1
     while size * 2 <= width:
         m = np.minimum(m[:-size], m[size:])
         size *= 2
-    return np.minimum(m[: len(m) - (width - size)], m[width - size :]) if size < width else m
+    return (np.minimum(m[: len(m) - (width - size)], m[width - size :]) if size < width else m) * _MIX[2]
 
 
 def _buffers(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -217,9 +222,71 @@ def smallest_ids(strings: list[bytes], ids: np.ndarray, least: int = LEAST) -> l
     return np.split(out, begin[1:-1])
 
 
-def _group_ids(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
-    ids = table.column("doc_id").to_pylist()
-    return np.array([NO_ID if i is None else i for i in ids], np.int64), [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+def runs_of(texts: list[bytes], k: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+    """Per buffer, of the runs of windows of one text that share a name: name, text, start, place and number of windows; and the buffer's bytes."""
+    for data, place, doc, start in _buffers(texts, least):
+        name = window_names(data, k, least)[place] >> np.uint64(1)
+        run = _breaks(name, doc)
+        count = np.diff(np.append(run, len(name)))
+        more = -(-count // 64)  # a name may stay for long in text that repeats itself
+        run = np.repeat(run, more) + 64 * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
+        yield name[run], doc[run], start[run], place[run], np.diff(np.append(run, len(name))), data.tobytes()
+
+
+def bounded_smallest_ids(strings: list[bytes], ids: np.ndarray, names: np.ndarray, least: int = LEAST, k: int = NAME_K, chunk: int = CHUNK) -> list[np.ndarray]:
+    """``smallest_ids`` of distinct strings, sorted about ``chunk`` bytes at a time; equal windows must have equal names."""
+    answer: list = [None] * len(strings)
+    order = np.argsort(names, kind="stable")
+    first = _breaks(names[order])
+    amount = np.add.reduceat(np.array([len(strings[i]) for i in order.tolist()], np.int64), first) if len(first) else np.empty(0, np.int64)
+    part: list[np.ndarray] = []
+    size = 0
+
+    def solve(chosen: np.ndarray) -> None:
+        for i, v in zip(chosen.tolist(), smallest_ids([strings[i] for i in chosen.tolist()], ids[chosen], least)):
+            answer[i] = v
+
+    for members, n in zip(np.split(order, first[1:]), amount.tolist()):
+        if n > 2 * chunk and len(members) > 1 and k < least:  # one name with too much: cut anew
+            for i, v in zip(members.tolist(), _cut_anew([strings[i] for i in members.tolist()], ids[members], least, min(FINER_K[k], least), chunk)):
+                answer[i] = v
+            continue
+        part.append(members)
+        size += n
+        if size >= chunk:
+            solve(np.concatenate(part))
+            part, size = [], 0
+    if part:
+        solve(np.concatenate(part))
+    return answer
+
+
+def _cut_anew(strings: list[bytes], ids: np.ndarray, least: int, k: int, chunk: int) -> list[np.ndarray]:
+    number: dict[bytes, int] = {}
+    names, low, at = [], [], []
+    for name, doc, start, place, count, raw in runs_of(strings, k, least):
+        for r, d, s, p, c in zip(name.tolist(), doc.tolist(), start.tolist(), place.tolist(), count.tolist()):
+            x = raw[p : p + c + least - 1]
+            i = number.setdefault(x, len(number))
+            if i == len(names):
+                names.append(r)
+                low.append(ids[d])
+            elif ids[d] < low[i]:
+                low[i] = ids[d]
+            at.append((d, s, i))
+    found = bounded_smallest_ids(list(number), np.array(low, np.int64), np.array(names, np.uint64), least, k, chunk)
+    out = [np.empty(len(x) - least + 1, np.int64) for x in strings]
+    for d, s, i in at:
+        out[d][s : s + len(found[i])] = found[i]
+    return out
+
+
+def in_order(table: pa.Table) -> tuple[pa.Table, np.ndarray, list[bytes]]:
+    """A group's rows by id (nulls last) and text, whatever order they came in; rows equal in both are interchangeable."""
+    ids = [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()]
+    texts = [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+    return table.take(pa.array(order, pa.int64())), np.array([ids[i] for i in order], np.int64), [texts[i] for i in order]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -236,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     groups = parts_for(total, GROUP_BYTES, 8)
     name_buckets, buckets = parts_for(total, NAME_BYTES, 8), parts_for(total, ROUTE_BYTES, 8)
-    dealt = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)).cast("int").alias("gid"), "*").repartition(groups, "gid")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("gid"), "*").repartition(groups, "gid")
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -259,9 +326,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first = _breaks(name)
             several = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
             sent = name[first] << np.uint64(1) | several.astype(np.uint64)
-            edge = np.searchsorted(sent, (np.arange(1, name_buckets, dtype=np.float64) * (2.0**64 / name_buckets)).astype(np.uint64))
-            blocks = np.split(sent, edge)
-            yield pa.RecordBatch.from_arrays([pa.array(range(name_buckets), pa.int32()), pa.array([g] * name_buckets, pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["bucket", "gid", "block"])
+            bucket = ((sent >> np.uint64(32)) * np.uint64(name_buckets) >> np.uint64(32)).astype(np.int32)  # rises with the name
+            edge = _breaks(bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array([g] * len(edge), pa.int32()), pa.array([b.tobytes() for b in np.split(sent, edge[1:])[: len(edge)]], pa.binary())], ["bucket", "gid", "block"])
         trim_memory()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,27 +356,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not left.num_rows or not right.num_rows:
             return pa.table({k: pa.array([], t) for k, t in _MESSAGE.items()})
         gid = left.column("gid")[0].as_py()
-        ids, texts = _group_ids(left)
+        _, ids, texts = in_order(left)
         known = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for b in right.column("block").to_pylist()]))
         number: dict[bytes, int] = {}
         route, low, occurrences = [], [], array("q")
-        for data, place, doc, start in _buffers(texts, least):
-            name = window_names(data, NAME_K, least)[place] >> np.uint64(1)
-            first = _breaks(name)
-            at = np.minimum(np.searchsorted(known, name[first]), len(known) - 1)
-            hit = np.repeat(known[at] == name[first], np.diff(np.append(first, len(name))))
-            if not hit.any():
-                continue
-            way = window_names(data, ROUTE_K, least)[place]
-            w = np.flatnonzero(hit)
-            way, doc, start, place = way[w], doc[w], start[w], place[w]
-            run = _breaks(way, doc, start - np.arange(len(start)))
-            count = np.diff(np.append(run, len(w)))
-            more = -(-count // 64)  # a name may stay for long in text that repeats itself
-            run = np.repeat(run, more) + 64 * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more))
-            count = np.diff(np.append(run, len(w)))
-            raw = data.tobytes()
-            for p, c, r, d, s in zip(place[run].tolist(), count.tolist(), way[run].tolist(), doc[run].tolist(), start[run].tolist()):
+        for name, doc, start, place, count, raw in runs_of(texts, NAME_K, least):
+            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name)
+            for p, c, r, d, s in zip(*(x[hit].tolist() for x in (place, count, name, doc, start))):
                 x = raw[p : p + c + least - 1]
                 k = number.get(x)
                 if k is None:
@@ -344,46 +397,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     messages = write_and_forget(sent, fresh_path(spark, "strings"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[int, tuple[dict, array, array, list]] = {}  # by bucket: strings, names, smallest ids, groups with their strings' numbers
         for batch in batches:
-            for b, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(b, []).append(rest)
-        for b, parts in held.items():
-            lengths = [np.frombuffer(p[2], np.uint16).astype(np.int64) for p in parts]
-            ways = np.concatenate([np.frombuffer(p[3], np.uint64) for p in parts])
-            ids = np.concatenate([np.frombuffer(p[4], np.int64) for p in parts])
-            number: dict[bytes, int] = {}
-            which = []
-            for p, n in zip(parts, lengths):
-                raw, end = zlib.decompress(p[1]), np.cumsum(n)
-                which += [number.setdefault(raw[s:e], len(number)) for s, e in zip((end - n).tolist(), end.tolist())]
-            which = np.array(which)
-            low, way = np.full(len(number), NO_ID), np.zeros(len(number), np.uint64)
-            np.minimum.at(low, which, ids)
-            way[which] = ways
-            all_strings = list(number)
-            answer: list = [None] * len(number)
-            order = np.argsort(way, kind="stable")
-            size = np.cumsum([len(all_strings[i]) for i in order.tolist()])
-            first = _breaks(way[order])
-            chunk = size[first] // CHUNK  # chunks end where the name changes
-            cuts = first[np.flatnonzero(np.concatenate(([False], chunk[1:] != chunk[:-1])))]
-            for part in np.split(order, cuts):
-                chosen = [all_strings[i] for i in part.tolist()]
-                for i, v in zip(part.tolist(), smallest_ids(chosen, low[part], least)):
-                    answer[i] = v
-            at = 0
-            for p, n in zip(parts, lengths):
-                found = np.concatenate([answer[i] for i in which[at : at + len(n)].tolist()])
-                at += len(n)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([p[0]], pa.int32()), pa.array([zlib.compress(found.tobytes(), 1)], pa.binary())], ["bucket", "gid", "block"])
+            for b, g, packed, sizes, ways, lows in zip(*(c.to_pylist() for c in batch.columns)):
+                number, names, low, asked = held.setdefault(b, ({}, array("Q"), array("q"), []))
+                raw, end = zlib.decompress(packed), np.cumsum(np.frombuffer(sizes, np.uint16), dtype=np.int64)
+                which = array("I")
+                start = 0
+                for stop, r, i in zip(end.tolist(), np.frombuffer(ways, np.uint64).tolist(), np.frombuffer(lows, np.int64).tolist()):
+                    x = raw[start:stop]
+                    start = stop
+                    k = number.setdefault(x, len(number))
+                    if k == len(names):
+                        names.append(r)
+                        low.append(i)
+                    elif i < low[k]:
+                        low[k] = i
+                    which.append(k)
+                asked.append((g, which))
+        for b in list(held):
+            number, names, low, asked = held.pop(b)
+            answer = bounded_smallest_ids(list(number), np.array(low, np.int64), np.array(names, np.uint64), least, NAME_K)
+            del number
+            for g, which in asked:
+                found = np.concatenate([answer[i] for i in which])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([g], pa.int32()), pa.array([zlib.compress(found.tobytes(), 1)], pa.binary())], ["bucket", "gid", "block"])
+        trim_memory()
 
     replies = messages.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(expand, "bucket int, gid int, block binary")
     own = messages.where("bucket < 0").select("bucket", "gid", F.col("strings").alias("block"), "lengths")
     answers = replies.withColumn("lengths", F.lit(None).cast("binary")).unionByName(own)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = _group_ids(left)
+        left, ids, texts = in_order(left)
         removed: dict[int, list] = {}
         parts = sorted((r for r in right.to_pylist()), key=lambda r: r["bucket"])
         if parts:

@@ -1,11 +1,15 @@
 """Packing, pieces, SimHash, personal data, toxicity and repeats against brute force on small tables."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -284,6 +288,59 @@ def test_repeats_equal_brute_force(spark, alphabet, least):
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_bytes"] - len(r["kept"]) for r in got)
 
 
+CLUSTER = """
+import hashlib, sys
+from pyspark.sql import SparkSession
+from tessella.llm import substrings
+spark = (SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+    .config("spark.checkpoint.dir", sys.argv[1] + "/shared").config("spark.executorEnv.PYTHONPATH", sys.argv[2]).getOrCreate())
+for r in substrings.remove_repeats(spark.read.parquet(sys.argv[1] + "/docs")).collect():
+    print("row", r["doc_id"], hashlib.sha256(r["kept"]).hexdigest(), len(r["spans"]))
+spark.stop()
+"""
+
+
+def test_repeats_on_several_executors(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs.repartition(8).write.parquet(f"{tmp_path}/docs")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    smallest = {}
+    for i in sorted(texts):
+        for at in range(len(texts[i]) - 49):
+            smallest.setdefault(texts[i][at : at + 50], i)
+    want = set()
+    for i, t in texts.items():
+        gone = bytearray(len(t))
+        for at in range(len(t) - 49):
+            if smallest[t[at : at + 50]] < i:
+                gone[at : at + 50] = b"\1" * 50
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        want.add(f"row {i} {hashlib.sha256(kept).hexdigest()} {bytes(gone).replace(bytes(1), b' ').split().__len__()}")
+    done = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path), os.environ["PYTHONPATH"]], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert {x for x in done.stdout.splitlines() if x.startswith("row ")} == want
+    assert any(not x.endswith(" 0") for x in want)
+
+
+def test_group_order_does_not_depend_on_arrival():
+    rows = [(3, "b"), (None, "z"), (3, "a"), (1, "ö"), (None, "a"), (3, "a")]
+    for _ in range(20):
+        RNG.shuffle(rows)
+        table, ids, texts = substrings.in_order(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]}))
+        assert texts == [t.encode() for t in table.column("text").to_pylist()] == ["ö".encode(), b"a", b"a", b"b", b"a", b"z"]
+        assert table.column("doc_id").to_pylist() == [1, 3, 3, 3, None, None] and ids[0] == 1
+
+
+def test_bounded_sorting_equals_sorting_at_once():
+    parts = ["".join(RNG.choice("ab c") for _ in range(RNG.randint(20, 60))) for _ in range(6)] + ["a" * 70]
+    for chunk in (1, 200, 100_000):
+        strings = list({"".join(RNG.choice(parts) for _ in range(4))[: RNG.randint(50, 200)].encode().ljust(50, b".") for _ in range(60)})
+        ids = np.array([RNG.randint(1, 99) for _ in strings], np.int64)
+        want = substrings.smallest_ids(strings, ids)
+        got = substrings.bounded_smallest_ids(strings, ids, np.zeros(len(strings), np.uint64), chunk=chunk)
+        assert all((a == b).all() for a, b in zip(want, got))
+
+
 def test_interval_expansion_classes():
     for _ in range(200):
         least, letters = RNG.choice([3, 5, 9, 17]), RNG.choice([b"ab", b"\0a", b"abcdefgh"])
