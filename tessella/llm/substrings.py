@@ -24,7 +24,6 @@ are shuffled.
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -98,6 +97,15 @@ def _buffers(texts: list[bytes], least: int) -> Iterator[tuple[np.ndarray, np.nd
         yield joined()
 
 
+def _packed(data: bytes) -> bytes:
+    """Compressed, behind the length."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _breaks(*columns: np.ndarray) -> np.ndarray:
     """First place of each run of equal entries in all columns."""
     if not len(columns[0]):
@@ -184,12 +192,13 @@ def shared_prefixes(strings: list[bytes], least: int = LEAST) -> tuple[np.ndarra
         lo, hi = bounds[parent], bounds[parent + 1]
         cut[fresh] = True
         size = hi - lo
-        rows = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())  # of all intervals just split
-        family = np.repeat(np.arange(len(lo)), size)
-        child = np.cumsum(cut[rows])
+        rows = np.repeat((lo - np.cumsum(size) + size).astype(np.int32), size)  # of all intervals just split
+        rows += np.arange(len(rows), dtype=np.int32)
+        family = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        child = np.cumsum(cut[rows], dtype=np.int32)
         keep = can[rows]
         if lo[0] == 0 and len(tails):  # the row behind the ends stands before every string's last byte
-            rows, family, child = (np.concatenate(x) for x in ((np.full(len(tails), -1), rows[keep]), (np.zeros(len(tails), np.int64), family[keep]), (np.full(len(tails), child[0]), child[keep])))
+            rows, family, child = (np.concatenate(x) for x in ((np.full(len(tails), -1, np.int32), rows[keep]), (np.zeros(len(tails), np.int32), family[keep]), (np.full(len(tails), child[0]), child[keep])))
             letter, image = np.concatenate((text[tails], before[rows[len(tails) :]])), np.concatenate((row[tails], backward[rows[len(tails) :]]))
         else:
             rows, family, child = rows[keep], family[keep], child[keep]
@@ -381,12 +390,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = {k: [] for k in _MESSAGE}
         for b, part in zip(bucket[order][first].tolist(), np.split(order, first[1:])):
             chosen = [all_strings[i] for i in part.tolist()]
-            for k, v in zip(_MESSAGE, (b, gid, zlib.compress(b"".join(chosen), 1), np.array([len(c) for c in chosen], np.uint16).tobytes(), ways[part].tobytes(), lows[part].tobytes())):
+            for k, v in zip(_MESSAGE, (b, gid, _packed(b"".join(chosen)), np.array([len(c) for c in chosen], np.uint16).tobytes(), (ways[part] >> np.uint64(31)).astype(np.uint32).tobytes(), _packed(lows[part].tobytes()))):
                 out[k].append(v)
         o = np.array(occurrences, np.int64).reshape(-1, 3)
         o[:, 2] = new[o[:, 2]]
         sizes = np.array([len(all_strings[i]) for i in order.tolist()], np.uint16)
-        for k, v in zip(_MESSAGE, (-1, gid, zlib.compress(o.tobytes(), 1), sizes.tobytes(), np.unique(bucket).tobytes(), np.array([(bucket == b).sum() for b in np.unique(bucket)], np.int64).tobytes())):
+        for k, v in zip(_MESSAGE, (-1, gid, _packed(o.tobytes()), sizes.tobytes(), np.unique(bucket).tobytes(), np.array([(bucket == b).sum() for b in np.unique(bucket)], np.int64).tobytes())):
             out[k].append(v)
         trim_memory()
         return pa.table({k: pa.array(v, _MESSAGE[k]) for k, v in out.items()})
@@ -400,11 +409,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held: dict[int, tuple[dict, array, array, list]] = {}  # by bucket: strings, names, smallest ids, groups with their strings' numbers
         for batch in batches:
             for b, g, packed, sizes, ways, lows in zip(*(c.to_pylist() for c in batch.columns)):
-                number, names, low, asked = held.setdefault(b, ({}, array("Q"), array("q"), []))
-                raw, end = zlib.decompress(packed), np.cumsum(np.frombuffer(sizes, np.uint16), dtype=np.int64)
+                number, names, low, asked = held.setdefault(b, ({}, array("I"), array("q"), []))
+                raw, end = _unpacked(packed), np.cumsum(np.frombuffer(sizes, np.uint16), dtype=np.int64)
                 which = array("I")
                 start = 0
-                for stop, r, i in zip(end.tolist(), np.frombuffer(ways, np.uint64).tolist(), np.frombuffer(lows, np.int64).tolist()):
+                for stop, r, i in zip(end.tolist(), np.frombuffer(ways, np.uint32).tolist(), np.frombuffer(_unpacked(lows), np.int64).tolist()):
                     x = raw[start:stop]
                     start = stop
                     k = number.setdefault(x, len(number))
@@ -421,7 +430,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             del number
             for g, which in asked:
                 found = np.concatenate([answer[i] for i in which])
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([g], pa.int32()), pa.array([zlib.compress(found.tobytes(), 1)], pa.binary())], ["bucket", "gid", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([g], pa.int32()), pa.array([_packed(found.tobytes())], pa.binary())], ["bucket", "gid", "block"])
         trim_memory()
 
     replies = messages.where("bucket >= 0").repartition(buckets, "bucket").mapInArrow(expand, "bucket int, gid int, block binary")
@@ -433,9 +442,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         removed: dict[int, list] = {}
         parts = sorted((r for r in right.to_pylist()), key=lambda r: r["bucket"])
         if parts:
-            o = np.frombuffer(zlib.decompress(parts[0]["block"]), np.int64).reshape(-1, 3)
+            o = np.frombuffer(_unpacked(parts[0]["block"]), np.int64).reshape(-1, 3)
             windows = np.frombuffer(parts[0]["lengths"], np.uint16).astype(np.int64) - least + 1
-            low = np.concatenate([np.frombuffer(zlib.decompress(p["block"]), np.int64) for p in parts[1:]])
+            low = np.concatenate([np.frombuffer(_unpacked(p["block"]), np.int64) for p in parts[1:]])
             begin = np.cumsum(windows) - windows
             n = windows[o[:, 2]]
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
