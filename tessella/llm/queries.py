@@ -29,7 +29,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     index = toxicity.fit(toxicity.bounded_sample(docs, _table(spark, sf_dir, "labels")), corpus=docs)
     scored = toxicity.score_documents(docs, index)
-    return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.is_held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ over these terms. Document frequencies are those of all documents where these ar
 inverted index with the largest impact of every term in each block. A text's cosine with any example
 of a block is at most the sum of its own weights times these impacts, so blocks are visited by
 falling bound until no bound reaches the k-th best cosine: the k nearest are exact. Votes weighted by
-the squared cosine, shrunk towards the rate among examples without any term, give the score.
+the squared cosine, shrunk towards the rate among examples without any term, are mapped to a
+probability by a logistic curve that is fitted on a fold of the examples outside the index.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -39,20 +41,47 @@ def _terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def term_counts(text: str, vocabulary: dict[str, int], heads: set[str]) -> dict[int, int]:
-    """Counts of the vocabulary's terms in the whole text; ``heads``: first characters of all its terms."""
-    found: dict[int, int] = {}
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        if word[: PREFIXES[0]] in heads:
-            for t in _terms_of(word):
-                k = vocabulary.get(t)
-                if k is not None:
-                    found[k] = found.get(k, 0) + n
-    return found
-
-
-def heads_of(vocabulary: dict[str, int]) -> set[str]:
-    return {t.rstrip("*")[: PREFIXES[0]] for t in vocabulary}
+class Terms:
+    """Counts of the vocabulary's terms in whole texts: whole words, and beginnings of one length at a time."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.whole = {t: k for t, k in vocabulary.items() if not t.endswith("*")}
+        begins = {n: {t[:-1]: k for t, k in vocabulary.items() if t.endswith("*") and len(t) == n + 1} for n in PREFIXES}
+        self.begins = [(n, itemgetter(slice(n)), known) for n, known in begins.items() if known]
+
+    def counts(self, text: str) -> dict[int, int]:
+        words = Counter(_WORD.findall(text.lower()))
+        found = {self.whole[w]: words[w] for w in self.whole.keys() & words.keys()}
+        for n, begin, known in self.begins:
+            begins = list(map(begin, words))
+            hit = known.keys() & set(begins)
+            if hit:
+                for b, (word, times) in zip(begins, words.items()):
+                    if b in hit and len(word) > n:
+                        found[known[b]] = found.get(known[b], 0) + times
+        return found
+
+
+def logistic_map(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of P(label 1) over the logit of the raw score, by Newton's method on smoothed targets."""
+    ones = int(labels.sum())
+    if not 0 < ones < len(labels):
+        return 1.0, 0.0
+    x = np.stack((_logit(raw), np.ones(len(raw))), axis=1)
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (len(labels) - ones + 2))
+    w = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
+        w -= step * min(1.0, 2 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)  # a falling map would turn the ranking around
+
+
+def _logit(raw):
+    raw = np.clip(raw, 1e-4, 1 - 1e-4)
+    return np.log(raw / (1 - raw))
 
 
 @dataclass
@@ -67,6 +96,7 @@ class NearestLabelled:
     impacts: np.ndarray  # largest by block and term
     base: float  # rate of label 1 among examples without any term
     neighbours: int = NEIGHBOURS
+    curve: tuple[float, float] = (1.0, 0.0)  # slope and intercept over the logit of the raw score
 
     @classmethod
     def build(cls, vocabulary: dict[str, int], doc_freq: np.ndarray, n_docs: int, examples: list[tuple[int, int, dict[int, int]]]) -> NearestLabelled:
@@ -111,8 +141,8 @@ class NearestLabelled:
             places, cosines = places[best], cosines[best]
         return places, cosines
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, int, float]]]:
-        """Score and evidence: id, label and cosine of each neighbour."""
+    def raw_score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, int, float]]]:
+        """Shrunk vote and evidence: id, label and cosine of each neighbour."""
         if not counts:
             return self.base, []
         places, cosines = self.nearest(counts)
@@ -120,14 +150,24 @@ class NearestLabelled:
         score = (votes @ self.labels[places] + PRIOR_WEIGHT * self.base) / (votes.sum() + PRIOR_WEIGHT)
         return float(min(1.0, max(0.0, score))), list(zip(self.ids[places].tolist(), self.labels[places].tolist(), cosines.tolist()))
 
+    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, int, float]]]:
+        """Calibrated probability of label 1, and evidence."""
+        raw, evidence = self.raw_score(counts)
+        return float(1 / (1 + np.exp(-(self.curve[0] * _logit(raw) + self.curve[1])))), evidence
+
 
 def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", corpus: DataFrame | None = None) -> NearestLabelled:
-    """The index over ``examples``, which must be bounded (see ``bounded_sample``); ids only name the evidence.
+    """The index over ``examples``, which must be bounded (see ``bounded_sample``); ids name the evidence and choose the fold.
+
+    One in six or so, by a hash of the id, stays outside the index and its vocabulary and calibrates the score.
 
     ``corpus`` gives the document frequencies, over all its rows; without it they are those of the examples.
     """
     rows = examples.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"))
 
+    calibrates = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 8 == 3, F.lit(False))
+    indexed = rows.where(~calibrates)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
         for batch in batches:
@@ -136,39 +176,41 @@ def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         terms = list(pos.keys() | neg.keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([pos[t] for t in terms], pa.int64()), pa.array([neg[t] for t in terms], pa.int64())], ["term", "pos", "neg"])
 
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
+    size = indexed.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     n, p = int(size["n"]), int(size["p"])
     a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
     chi = (a * (n - p) - b * p) ** 2 / ((a + b) * (n - a - b + 1))
     chosen = (
-        rows.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        indexed.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         .where((a + b >= LEAST_DOCS) & (chi * n / max(1, p * (n - p)) >= LEAST_CHI)).orderBy(chi.desc(), "term").collect()
     )
     vocabulary = {r["term"]: k for k, r in enumerate(chosen)}
-    heads = heads_of(vocabulary)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(vocabulary)
         for batch in batches:
-            found = [sorted(term_counts(t, vocabulary, heads).items()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int64()))], ["id", "y", "terms", "counts"])
+            found = [sorted(terms.counts(t).items()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[c for _, c in f] for f in found], pa.list_(pa.int64()))], ["id", "y", "outside", "terms", "counts"])
 
-    kept = rows.mapInArrow(vectors, "id long, y int, terms array<int>, counts array<long>").collect()
+    kept = rows.withColumn("outside", calibrates).mapInArrow(vectors, "id long, y int, outside boolean, terms array<int>, counts array<long>").collect()
     doc_freq, n_docs = np.array([r["pos"] + r["neg"] for r in chosen], float), n
     if corpus is not None:
         doc_freq, n_docs = _document_frequencies(corpus, text_col, vocabulary)
-    return NearestLabelled.build(vocabulary, doc_freq, n_docs, [(r["id"] if r["id"] is not None else -1, r["y"], dict(zip(r["terms"], r["counts"]))) for r in kept])
+    index = NearestLabelled.build(vocabulary, doc_freq, n_docs, [(r["id"] if r["id"] is not None else -1, r["y"], dict(zip(r["terms"], r["counts"]))) for r in kept if not r["outside"]])
+    outside = [(index.raw_score(dict(zip(r["terms"], r["counts"])))[0], r["y"]) for r in kept if r["outside"]]
+    index.curve = logistic_map(np.array([x for x, _ in outside]), np.array([y for _, y in outside], np.int64))
+    return index
 
 
 def _document_frequencies(corpus: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
     """Number of rows of ``corpus`` with each term, and of all its rows: one grouped aggregate, a row per term."""
-    heads = heads_of(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = 0, Counter()
+        terms, total, seen = Terms(vocabulary), 0, Counter()
         for batch in batches:
             total += batch.num_rows
             for text in batch.column(0).to_pylist():
-                seen.update(term_counts(text, vocabulary, heads).keys())
+                seen.update(terms.counts(text).keys())
         yield pa.RecordBatch.from_arrays([pa.array([-1, *seen], pa.int32()), pa.array([total, *seen.values()], pa.int64())], ["term", "n"])
 
     bounded_batches(corpus.sparkSession)
@@ -194,14 +236,15 @@ def score_documents(docs: DataFrame, index: NearestLabelled, id_col: str = "doc_
 
     Null, empty and termless texts get the rate among termless examples; a null id is kept; repeated
     rows come out once each; texts are read whole; an empty table gives an empty one; without any
-    labelled example every score is that rate's prior. Other columns are not read.
+    labelled example every score is that rate's prior; neighbours of equal cosine (to 12 digits) come in the
+    index's order. Other columns are not read.
     """
-    heads = heads_of(index.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+        terms = Terms(index.vocabulary)
         for batch in batches:
-            scored = [index.score(term_counts(t, index.vocabulary, heads)) for t in batch.column(1).to_pylist()]
+            scored = [index.score(terms.counts(t)) for t in batch.column(1).to_pylist()]
             evidence = [[{"id": i, "label": y, "cosine": c} for i, y, c in e] for _, e in scored]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in scored], pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
 
@@ -210,10 +253,11 @@ def score_documents(docs: DataFrame, index: NearestLabelled, id_col: str = "doc_
 
 def score_column(index: NearestLabelled):
     """A column function from text to score, for filters on whole rows."""
-    heads = heads_of(index.vocabulary)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: index.score(term_counts(t or "", index.vocabulary, heads))[0])
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        terms = Terms(index.vocabulary)
+        for texts in batches:
+            yield texts.map(lambda t: index.score(terms.counts(t or ""))[0])
 
     return scored

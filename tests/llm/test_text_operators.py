@@ -254,6 +254,54 @@ def test_blocks_give_the_exact_neighbours(labelled):
         assert np.abs(index.nearest(counts)[1] - want).max() < 1e-9
 
 
+def test_scores_equal_a_plain_vote_over_all_examples(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(toxicity.bounded_sample(docs, labels), corpus=docs)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+    def plain(text):
+        words = re.findall(r"[^\W_]+", text.lower())
+        vector = np.zeros(len(index.vocabulary))
+        for t, k in index.vocabulary.items():
+            n = sum(w.startswith(t[:-1]) and len(w) >= len(t) for w in words) if t.endswith("*") else words.count(t)
+            vector[k] = (1 + np.log(n)) * index.idf[k] if n else 0
+        length = np.sqrt(vector @ vector)
+        return vector / length if length else vector
+
+    vectors = {i: plain(t) for i, t in texts.items()}
+    for k, t in enumerate(index.vocabulary):
+        seen = sum(v[index.vocabulary[t]] > 0 for v in vectors.values())
+        assert abs(index.idf[k] - (np.log((1 + len(texts)) / (1 + seen)) + 1)) < 1e-9
+    examples = np.array([vectors[i] for i in index.ids.tolist()])
+    assert len(examples) > 20
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs, index).collect()}
+    assert got.keys() == texts.keys()
+    for i, v in vectors.items():
+        cosines = (examples @ v).round(12)
+        best = np.lexsort((np.arange(len(cosines)), -cosines))[: toxicity.NEIGHBOURS]
+        best = best[cosines[best] > 0]
+        votes = cosines[best] ** 2
+        raw = (votes @ index.labels[best] + toxicity.PRIOR_WEIGHT * index.base) / (votes.sum() + toxicity.PRIOR_WEIGHT)
+        odds = np.exp(index.curve[0] * np.log(raw / (1 - raw) if raw > 1e-4 else 1e-4 / (1 - 1e-4)) + index.curve[1])
+        assert abs(got[i]["score"] - odds / (1 + odds)) < 1e-6
+        assert [e["id"] for e in got[i]["evidence"]] == index.ids[best].tolist()
+    outside = {i for i in texts if zlib.crc32(str(i).encode()) % 8 == 3}
+    assert outside and not outside & {*index.ids.tolist()}
+
+
+def test_calibration_follows_the_observed_rate():
+    rng = np.random.default_rng(5)
+    raw = rng.uniform(0, 1, 20_000)
+    labels = (rng.uniform(0, 1, 20_000) < raw**2).astype(int)
+    slope, intercept = toxicity.logistic_map(raw, labels)
+    p = 1 / (1 + np.exp(-(slope * toxicity._logit(raw) + intercept)))
+    assert slope > 0 and abs(p.mean() - labels.mean()) < 0.01
+    for low, high in ((0.1, 0.3), (0.3, 0.5), (0.5, 0.7), (0.7, 0.9)):
+        part = (p >= low) & (p < high)
+        assert abs(p[part].mean() - labels[part].mean()) < 0.06
+    assert toxicity.logistic_map(raw, np.zeros(20_000, int)) == (1.0, 0.0)
+
+
 def test_toxicity_of_odd_tables(spark, labelled):
     table, _ = labelled
     index = toxicity.fit(table)
