@@ -1,11 +1,15 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns give the base spans. Tokens that hold a digit or an at sign are the nodes of a linear chain
-per document; tokens that repeat, or share their digits, are joined by skip edges. Node potentials
-come from a softmax over shape and context features, chain and skip potentials from label counts;
-both are learnt on a bounded sample of documents whose base spans are the labels. Loopy sum-product
-message passing over chain and skip edges makes equal tokens agree within a document; a token with a
-confident entity label that overlaps no base span becomes a further span. Base spans always stay.
+Patterns give the base spans. Tokens that hold a digit or an at sign are the nodes of a linear chain per
+document; tokens that repeat, share their digits or the last seven of them, or the part before the at sign,
+are joined by skip edges to the first of their like. Node, chain and skip weights are learnt together by
+pseudo-likelihood on a bounded sample of documents, with a prior that like tokens agree. There the tokens in base spans bear the labels, and half
+of all tokens are learnt without the features of their own form, so that context, neighbours and likes must
+carry the label; a token outside the patterns whose like is inside is left out, as its label is unknown.
+In use, tokens in base spans keep their label as evidence, and loopy sum-product messages along chain and
+skip edges, until they settle, make like tokens agree throughout the document. Tokens outside base spans that
+are surely of a kind, and have a like of that kind, become further spans: a phone number without its prefix,
+an address without its domain. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -24,9 +28,12 @@ from pyspark.sql import functions as F
 from tessella.llm.common import id_and_text
 
 KINDS = ["email", "ip", "card", "phone"]
-FEATURES = 4096
+FEATURES = 1 << 14
 MAX_SAMPLE = 4000  # bound of the documents that the field is fitted on
-ROUNDS = 6
+MAX_SAMPLE_CHARS = 20_000  # longer documents are no examples for the fit; they are searched like any other
+ROUNDS, SETTLED = 200, 1e-7  # messages are passed until none changes by more
+EVIDENCE = 30.0
+AGREEMENT = 4.0  # prior log potential of two like tokens of one kind, which a corpus without repeated mentions keeps
 SURE = 0.9
 
 # The stated patterns; possessive digits and the look-behind only spare futile retries inside a run.
@@ -101,23 +108,24 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 
 def _shape(token: str) -> str:
-    return re.sub(r"(.)\1+", r"\1+", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[^\W\d_a-zA-Z]", "u", re.sub(r"[0-9]", "9", token[:64])))))
+    return re.sub(r"(.)\1+", r"\1+", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[^\W\d_a-zA-Z]", "u", re.sub(r"[0-9]", "9", token)))))
 
 
-def _features(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Hashed features of each token: shape, digit count, the words beside it and its neighbours' shapes."""
+def _features(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
+    """Hashed features of each token: of its own form, and of the words beside it and its neighbours' shapes."""
     shapes = [_shape(text[s:e]) for s, e in spans]
+    hashed = lambda named: [zlib.crc32(f.encode("utf-8", "replace")) % FEATURES for f in named]
     out = []
     for i, (s, e) in enumerate(spans):
         token = text[s:e]
-        digits = sum(map(str.isdigit, token))
         around = text[max(0, s - 24) : s].split(" ")[-2:], text[e : e + 24].split(" ")[:2]
-        named = [f"s{shapes[i]}", f"d{digits}", f"p{around[0][:1]}", f"n{around[1][-1:]}", "@" * ("@" in token) or "-", "." * (token.count(".") == 3) or "_"]
+        context = ["bias", f"p{around[0][:1]}", f"n{around[1][-1:]}"]
         if i and s - spans[i - 1][1] <= 3:
-            named.append(f"l{shapes[i - 1]}")
+            context.append(f"l{shapes[i - 1]}")
         if i + 1 < len(spans) and spans[i + 1][0] - e <= 3:
-            named.append(f"r{shapes[i + 1]}")
-        out.append([zlib.crc32(f.encode("utf-8", "replace")) % FEATURES for f in named])
+            context.append(f"r{shapes[i + 1]}")
+        own = [f"s{shapes[i]}", f"d{min(20, sum(map(str.isdigit, token)))}", "@" * ("@" in token) or "-", "." * (token.count(".") == 3) or "_"]
+        out.append((hashed(own), hashed(context)))
     return out
 
 
@@ -130,18 +138,26 @@ def _gold(spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> lis
     return out
 
 
+def _likes(token: str) -> set[str]:
+    """What a token shares with those like it."""
+    token = token.lower()
+    digits = _NOT_DIGIT.sub("", token)
+    out = {"t" + token} if len(token) >= 6 else set()
+    if len(digits) >= 7:
+        out |= {"d" + digits, "e" + digits[-7:]}
+    local = token.partition("@")[0] if "@" in token else ""
+    return out | ({"l" + local} if len(local) >= 4 else set())
+
+
 def _skips(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Skip edges: each token with the next one that is equal (case aside) or has the same 7 or more digits."""
-    last: dict[str, int] = {}
+    """Skip edges: each token with the first one like it, so that two steps span the document."""
+    first: dict[str, int] = {}
     out = set()
     for i, (s, e) in enumerate(spans):
-        token = text[s:e].lower()
-        digits = _NOT_DIGIT.sub("", token)
-        for key in {"t" + token, "d" + digits if len(digits) >= 7 else "t" + token}:
-            if len(token) >= 4:
-                if key in last:
-                    out.add((last[key], i))
-                last[key] = i
+        for key in _likes(text[s:e]):
+            j = first.setdefault(key, i)
+            if j != i:
+                out.add((j, i))
     return sorted(out)
 
 
@@ -152,29 +168,48 @@ class SkipChainField:
     skip: np.ndarray  # log potentials of labels joined by a skip edge
 
     @classmethod
-    def fit(cls, features: list[list[int]], labels: list[int], chain: np.ndarray, skip: np.ndarray, epochs: int = 30) -> SkipChainField:
+    def fit(cls, features: list[list[int]], labels: np.ndarray, links: list[tuple[int, int, bool]], learnt: np.ndarray, epochs: int = 80) -> SkipChainField:
+        """Weights of all three kinds at once, by AdaGrad on the pseudo-likelihood of the nodes in ``learnt``."""
         n, k = len(labels), len(KINDS) + 1
-        w = np.zeros((FEATURES, k))
-        if n:
-            rows = np.repeat(np.arange(n), [len(f) for f in features])
-            cols = np.fromiter((c for f in features for c in f), np.int64)
-            y = np.eye(k)[np.array(labels)]
-            square = np.full(w.shape, 1e-6)
-            for _ in range(epochs):
-                z = np.zeros((n, k))
-                np.add.at(z, rows, w[cols])
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                grad = np.zeros_like(w)
-                np.add.at(grad, cols, (p / p.sum(axis=1, keepdims=True) - y)[rows])
-                grad = grad / n + 1e-5 * w
+        w, chain, prior = np.zeros((FEATURES, k)), np.zeros((k, k)), np.diag([0.0] + [AGREEMENT] * (k - 1))
+        skip = prior.copy()
+        if not learnt.any():
+            return cls(w, chain, skip)
+        y = np.eye(k)[labels]
+        left, right, far = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k))
+        for a, b, is_far in links:
+            if is_far:
+                far[a] += y[b]
+                far[b] += y[a]
+            else:
+                left[b] += y[a]
+                right[a] += y[b]
+        rows, cols = np.repeat(np.arange(n), [len(f) for f in features]), np.fromiter((c for f in features for c in f), np.int64)
+        squares = [np.full(x.shape, 1e-6) for x in (w, chain, skip)]
+        for _ in range(epochs):
+            z = left @ chain + right @ chain.T + far @ skip
+            np.add.at(z, rows, w[cols])
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            off = (p / p.sum(axis=1, keepdims=True) - y) * learnt[:, None] / learnt.sum()
+            by_feature = np.zeros_like(w)
+            np.add.at(by_feature, cols, off[rows])
+            far_off = far.T @ off
+            for x, middle, grad, square in zip((w, chain, skip), (0.0, 0.0, prior), (by_feature, left.T @ off + off.T @ right, far_off + far_off.T), squares):
+                grad = grad + 1e-5 * (x - middle)
                 square += grad**2
-                w -= 0.5 * grad / np.sqrt(square)
-        surprise = lambda c: np.log((c + 1) / (c + 1).sum()) - np.log(np.outer((c + 1).sum(1), (c + 1).sum(0)) / (c + 1).sum() ** 2)
-        return cls(w, surprise(chain), surprise(skip))
+                x -= 0.3 * grad / np.sqrt(square)
+        return cls(w, chain, skip)
+
+    def marginals(self, features: list[list[int]], links: list[tuple[int, int, bool]], evidence: list[int] | None = None, rounds: int = ROUNDS) -> np.ndarray:
+        """Label beliefs once damped sum-product messages along all edges, both ways at once, have settled.
 
-    def marginals(self, features: list[list[int]], links: list[tuple[int, int, bool]], rounds: int = ROUNDS) -> np.ndarray:
-        """Label beliefs after ``rounds`` of damped sum-product messages along all edges, both ways at once."""
+        ``evidence`` holds the known label of a node, 0 where it is unknown.
+        """
         node = np.array([self.weights[f].sum(axis=0) for f in features])
+        for i, label in enumerate(evidence or []):
+            if label:
+                node[i] = 0.0
+                node[i, label] = EVIDENCE
         if links:
             a, b, far = (np.array(x) for x in zip(*links))
             pair = np.where(far[:, None, None], self.skip, self.chain)
@@ -188,7 +223,10 @@ class SkipChainField:
                 x = (belief[source] - m[back])[:, :, None] + pair
                 top = x.max(axis=1)
                 new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-                m = 0.5 * m + 0.5 * (new - new.max(axis=1, keepdims=True))
+                new = 0.5 * m + 0.5 * (new - new.max(axis=1, keepdims=True))
+                change, m = np.abs(new - m).max(), new
+                if change < SETTLED:
+                    break
             np.add.at(node, target, m)
         p = np.exp(node - node.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
@@ -199,48 +237,88 @@ def _links(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, bool
     return near + [(a, b, True) for a, b in _skips(text, spans)]
 
 
-def fit(docs: DataFrame, text_col: str = "text", max_sample: int = MAX_SAMPLE) -> SkipChainField:
-    """The field, learnt from the base spans of at most ``max_sample`` documents chosen by a hash of their text."""
+def _example(text: str) -> tuple[list[list[int]], list[int], list[bool], list[tuple[int, int, bool]]]:
+    """Features, labels, which nodes are learnt, and links of one document for the fit."""
+    spans = tokens(text)
+    labels, links = _gold(spans, base_spans(text)), _links(text, spans)
+    features = [context if zlib.crc32(f"{i} {text[s:e]}".encode("utf-8", "replace")) % 2 else own + context for i, ((s, e), (own, context)) in enumerate(zip(spans, _features(text, spans)))]
+    of_kind: dict[str, bool] = {}
+    for (s, e), y in zip(spans, labels):
+        for key in _likes(text[s:e]):
+            of_kind[key] = of_kind.get(key, False) or y > 0
+    learnt = [y > 0 or not any(of_kind[key] for key in _likes(text[s:e])) for (s, e), y in zip(spans, labels)]
+    return features, labels, learnt, links
+
+
+def fit(docs: DataFrame, text_col: str = "text", max_sample: int = MAX_SAMPLE, max_chars: int = MAX_SAMPLE_CHARS) -> SkipChainField:
+    """The field, learnt from the base spans of at most ``max_sample`` whole documents of at most ``max_chars`` characters.
+
+    They are chosen by a hash of their text; nulls, empty texts and repeats teach nothing.
+    """
     seen = F.coalesce(F.col(text_col), F.lit(""))
-    sample = docs.select(seen.alias("text")).where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"))
+    sample = docs.select(seen.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= max_chars)).select("text", F.xxhash64("text").alias("h"))
     chosen = sample.select("h").distinct().orderBy("h").limit(max_sample)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                spans = tokens(text)[:2000]
-                y = _gold(spans, base_spans(text))
-                f = _features(text, spans)
-                links = _links(text, spans)
-                flat = [int(far) * 25 + y[a] * 5 + y[b] for a, b, far in links]
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.list_(pa.list_(pa.int32()))), pa.array([y], pa.list_(pa.int32())), pa.array([flat], pa.list_(pa.int32()))], ["features", "labels", "links"])
-
-    rows = sample.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).select("text").mapInArrow(learn, "features array<array<int>>, labels array<int>, links array<int>").collect()
-    counts = np.zeros(50)
+            found = [_example(t) for t in batch.column(0).to_pylist()]
+            flat = [[x for link in f[3] for x in map(int, link)] for f in found]
+            kinds = (pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([f[0] for f in found], [f[1] for f in found], [f[2] for f in found], flat), kinds)], ["features", "labels", "learnt", "links"])
+
+    rows = sample.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h").select("text").mapInArrow(learn, "features array<array<int>>, labels array<int>, learnt array<boolean>, links array<int>").collect()
+    features, labels, learnt, links = [], [], [], []
     for r in rows:
-        counts += np.bincount(r["links"], minlength=50) if r["links"] else 0
-    chain, skip = counts[:25].reshape(5, 5), counts[25:].reshape(5, 5)
-    rows = sorted(rows, key=lambda r: (r["features"], r["labels"]))
-    return SkipChainField.fit([f for r in rows for f in r["features"]], [y for r in rows for y in r["labels"]], chain, skip + skip.T)
+        flat = np.array(r["links"], np.int64).reshape(-1, 3) + [len(labels), len(labels), 0]
+        links += [(a, b, bool(far)) for a, b, far in flat.tolist()]
+        features += r["features"]
+        labels += r["labels"]
+        learnt += r["learnt"]
+    return SkipChainField.fit(features, np.array(labels, np.int64), links, np.array(learnt, bool))
 
 
 def spans_of(text: str, field: SkipChainField) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
-    found = tokens(text)
-    if not found:
+    found = tokens(text) if base else []  # without a base span no token has a like of a kind
+    links = _links(text, found)
+    if not any(far for *_, far in links):
         return base, base
-    p = field.marginals(_features(text, found), _links(text, found))
-    label = p.argmax(axis=1)
+    known = _gold(found, base)
+    p = field.marginals([own + context for own, context in _features(text, found)], links, known)
+    label, sure = p.argmax(axis=1).tolist(), (p.max(axis=1) >= SURE).tolist()
+    root = list(range(len(found)))
+
+    def like(i: int) -> int:
+        """One token of all those that skip edges join to this one."""
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b, far in links:
+        if far:
+            root[like(b)] = like(a)
+    backed = {(like(i), k) for i, k in enumerate(known) if k}
     taken = sorted((s, e) for _, s, e in base)
-    added = []
+    added: list[tuple[str, int, int]] = []
+    run: list[int] = []
     at = 0
-    for (s, e), k, sure in zip(found, label.tolist(), p.max(axis=1).tolist()):
+
+    def close() -> None:
+        if any((like(i), label[i]) in backed for i in run):
+            added.append((KINDS[label[run[0]] - 1], found[run[0]][0], found[run[-1]][1]))
+        run.clear()
+
+    for i, (s, e) in enumerate(found):
         while at < len(taken) and taken[at][1] <= s and (at + 1 == len(taken) or taken[at + 1][0] <= s):
             at += 1
         clear = not any(bs < e and s < be for bs, be in taken[max(0, at - 4) : at + 4])
-        if k and sure >= SURE and clear and e > s:
-            added.append((KINDS[k - 1], s, e))
+        if run and not (label[i] == label[run[0]] and sure[i] and clear and s - found[run[-1]][1] <= 3):
+            close()
+        if label[i] and sure[i] and clear and e > s and not known[i]:
+            run.append(i)
+    if run:
+        close()
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 

@@ -190,6 +190,49 @@ def test_field_spreads_labels_over_repeats(spark):
     assert abs(alone.marginals([[1], [2]], [])[1].max() - 0.2) < 1e-9
 
 
+def test_field_finds_what_patterns_miss(spark):
+    """Planted mentions without prefix or domain: recall and precision of the added spans, where patterns find none."""
+    field = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    hit = wrong = missed = 0
+    for i in range(400):
+        text, truth = prose(30), set()
+
+        def put(lead, said, kind=None):
+            nonlocal text
+            text += f" {lead} "
+            if kind:
+                truth.add((kind, len(text), len(text) + len(said)))
+            text += said + " " + prose(rng.randint(5, 40))
+
+        if i % 2:
+            a, b, c, name = rng.randint(200, 999), rng.randint(200, 999), rng.randint(1000, 9999), f"{rng.choice(WORDS)}.long{rng.randint(1, 99)}"
+            put("call", f"+1 ({a}) {b}-{c}")
+            put("or dial", f"{b}-{c}", "phone")
+            put("mail", f"{name}@site{i}.example.com")
+            put("write to", f"{name}@site{i}", "email")
+            put("order", str(rng.randint(1000000, 9999999)))
+        else:
+            order = str(rng.randint(1000000, 9999999))
+            put("order", order)
+            put("again", order)
+            put("see", f"{rng.randint(100, 999)}-{rng.randint(1000, 9999)}")
+            put("from", f"10.0.{rng.randint(0, 255)}.{rng.randint(0, 255)}")
+        put("in", str(rng.randint(1900, 2020)))
+        base, spans = pii.spans_of(text, field)
+        assert not set(base) & truth
+        added = set(spans) - set(base)
+        hit, wrong, missed = hit + len(added & truth), wrong + len(added - truth), missed + len(truth - added)
+    assert hit / (hit + missed) > 0.75 and wrong / (hit + wrong) < 0.02, (hit, wrong, missed)
+
+
+def test_long_text_without_white_space(spark):
+    docs = documents(spark, ["7" * 300_000, "a@" * 50_000, "a1" * 100_000, None, ""])
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs, pii.fit(docs)).collect()}
+    assert not any(got[i]["spans"] for i in range(5))
+
+
 def test_messages_are_exact_on_a_chain():
     rng = np.random.default_rng(1)
     field = pii.SkipChainField(rng.normal(size=(pii.FEATURES, 5)), rng.normal(size=(5, 5)), np.zeros((5, 5)))
