@@ -6,11 +6,14 @@ signs of its coordinates with the factor o = <signs / sqrt(D), rotated vector>.
 e * sqrt((1 - o**2) / o**2) / sqrt(D - 1) at confidence level e; only pairs whose upper bound reaches
 the threshold are computed exactly. Vectors meet in cells around random directions: each goes to its
 few nearest cells, large cells are split into pairs of blocks, and a pair counts in the smallest cell
-that both share, so links are counted without being shuffled and no pair list is built.
+that both share, so links are counted without being shuffled and no pair list is built. The number of
+cells follows the number of vectors without a bound: beyond ``SINGLE`` of them a cell is a pair of
+directions, one from each of two sets of about the square root of that number.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +26,9 @@ from tessella.llm.components import connected_components
 from tessella.llm.vectors import matrix, prepared
 
 THRESHOLD = 0.9
-PROBES = 8
+SINGLE = 4096
+PROBES, PAIR_PROBES = 8, 24  # cells of a vector, with one set of directions and with two
 CELL_ROWS = 256
-MOST_CELLS = 4096  # also bounds the table of cell sizes, which is broadcast
 BLOCK_ROWS = 4096
 LEVEL = 3.5
 SEED = 20240131
@@ -36,11 +39,34 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def directions(dim: int, cells: int) -> np.ndarray:
-    d = np.random.default_rng([SEED, dim, cells]).standard_normal((cells, dim))
+def directions(dim: int, n: int, which: int = 0) -> np.ndarray:
+    d = np.random.default_rng([SEED, dim, n, *[which] * (which > 0)]).standard_normal((n, dim))
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
+def cell_sets(n_vectors: int) -> list[int]:
+    """Sizes of the one or two sets of directions that make about a cell per ``CELL_ROWS`` vectors."""
+    cells = max(16, n_vectors // CELL_ROWS)
+    return [cells] if cells <= SINGLE else [math.isqrt(cells - 1) + 1] * 2
+
+
+def home_cells(rotated: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The nearest cells of each vector, ascending; of two sets, the pairs of largest summed inner product."""
+    if len(sets) == 1:
+        take = min(PROBES, len(sets[0]))
+        return np.sort(np.argpartition(-(rotated @ sets[0].T), take - 1, axis=1)[:, :take], axis=1).astype(np.int32)
+    out = []
+    for part in np.array_split(rotated, -(-len(rotated) // 1024)):
+        near = [part @ s.T for s in sets]
+        best = [np.argpartition(-x, min(PAIR_PROBES, x.shape[1]) - 1, axis=1)[:, :PAIR_PROBES] for x in near]
+        one, two = (np.take_along_axis(x, b, 1) for x, b in zip(near, best))
+        sums = (one[:, :, None] + two[:, None, :]).reshape(len(part), -1)
+        top = np.argpartition(-sums, PAIR_PROBES - 1, axis=1)[:, :PAIR_PROBES]
+        width = two.shape[1]
+        out.append(np.take_along_axis(best[0], top // width, 1) * len(sets[1]) + np.take_along_axis(best[1], top % width, 1))
+    return np.sort(np.concatenate(out), axis=1).astype(np.int32)
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -72,18 +98,17 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
-    of different length never link. Repeated and equal rows link with each other. A null id is kept
-    with its links. An empty table gives an empty one. Other columns are not read.
+    of different length never link. Repeated and equal rows link with each other; rows of one id with
+    different vectors have links of their own. A null id is kept with its links, and a component without
+    any other id has none. An empty table gives an empty one. Other columns are not read.
     """
     rows = prepared(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0))
-    distinct = checkpoint(rows.groupBy("v").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")).withColumn("node", F.coalesce("head", F.xxhash64("v"))))
-    n = distinct.count()
-    cells = min(MOST_CELLS, max(16, n // CELL_ROWS))
-    take = min(probes, cells)
+    distinct = checkpoint(rows.groupBy("v").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))  # kept by the checkpoint
+    sets = cell_sets(distinct.count())
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, toward = {}, {}
@@ -92,10 +117,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int =
             for dim in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == dim))
                 if dim not in turn:
-                    turn[dim], toward[dim] = rotation(dim), directions(dim, cells)
+                    turn[dim], toward[dim] = rotation(dim), [directions(dim, k, i) for i, k in enumerate(sets)]
                 rotated = unit(matrix(part.column(0))) @ turn[dim].T
                 signs, factor = codes(rotated)
-                home = np.sort(np.argpartition(-(rotated @ toward[dim].T), take - 1, axis=1)[:, :take], axis=1).astype(np.int32)
+                home = home_cells(rotated, toward[dim])
                 packed = np.packbits(signs, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([dim] * len(part), pa.int32()), part.column(1), part.column(2), part.column(0), pa.array(list(map(bytes, packed)), pa.binary()), pa.array(factor), pa.array(list(home), pa.list_(pa.int32()))],
@@ -105,7 +130,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int =
     placed = distinct.select("v", "node", "copies").mapInArrow(assign, "dim int, node long, copies long, v array<double>, code binary, factor double, cells array<int>")
     dealt = placed.withColumn("cell", F.explode("cells"))
     sizes = dealt.groupBy("dim", "cell").count().select("dim", "cell", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks"))
-    split = dealt.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    large = sizes.where("blocks > 1")  # a small table, as only cells over a block are in it
+    split = dealt.join(large, ["dim", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    split = split.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = split.select("dim", "cell", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "copies", "v", "code", "factor", "cells")
 
@@ -140,9 +167,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, probes: int =
     found = checkpoint(keyed.groupBy("dim", "cell", "low", "high").applyInArrow(compare, "node long, links long, toward long"))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(found.where("node <> toward"), "node", "toward").select("node", "component")
-    named = distinct.join(counted, "node", "left").join(joined, "node", "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"),
-    )
+    classes = distinct.join(counted, "node", "left").join(joined, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    smallest = classes.groupBy("class").agg(F.min("head").alias("component_id"))
+    named = classes.join(smallest, "class").select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     all_rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     out = all_rows.join(named, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import tempfile
 
 import numpy as np
 import pytest
@@ -62,9 +63,59 @@ def test_blocks_and_groups_are_merged(spark, cloud, monkeypatch):
     whole = sorted(map(tuple, topk.top_k(vectors(spark, rows), every=7).collect()))
     monkeypatch.setattr(topk, "BLOCK_ROWS", 90)
     monkeypatch.setattr(topk, "GROUP_QUERIES", 13)
+    monkeypatch.setattr(topk, "CHUNK_BLOCKS", 3)
     assert sorted(map(tuple, topk.top_k(vectors(spark, rows), every=7).collect())) == whole
 
 
+def test_queries_skip_far_blocks(spark, monkeypatch):
+    """Clustered rows: the searches compare far fewer pairs than all, and twice the rows do not square that."""
+    centres = RNG.normal(size=(64, 24)) * 4
+    met = []
+    plain = topk.dual_tree
+
+    def counted(q, qi, x, xi, k, floor=None):
+        with open(path, "a") as f:
+            f.write(f"{len(q)} {len(x)}\n")
+        return plain(q, qi, x, xi, k, floor)
+
+    monkeypatch.setattr(topk, "dual_tree", counted)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 64)
+    for n in (1200, 2400):
+        rows = [(i, centres[i * 7 % 64] + RNG.normal(scale=0.05, size=24)) for i in range(n)]
+        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "met")
+        got = sorted(map(tuple, topk.top_k(vectors(spark, rows), every=10).collect()))
+        whole = {i: np.floor(1024 * np.array(v, np.float32).astype(np.float64)).astype(np.int64) for i, v in rows}
+        want = []
+        for q in range(0, n, 10):
+            best = sorted((-int(whole[q] @ x), i) for i, x in whole.items() if i != q)[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+        assert got == sorted(want)
+        with open(path) as f:
+            met.append(sum(int(x) for line in f for x in line.split()[1:]) / n)
+    blocks = 2400 / 64
+    assert met[1] < blocks / 2, met
+
+
+def test_rows_of_one_id_have_links_of_their_own(spark):
+    rows = [(5, [1, 0, 0, 0]), (5, [0, 1, 0, 0]), (6, [1, 0.01, 0, 0]), (7, [0, 1, 0.01, 0])]
+    got = sorted(map(tuple, neardup.near_vectors(vectors(spark, rows)).collect()))
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
+
+
+@pytest.mark.parametrize("cells", [4096, 65536])
+def test_many_cells_keep_recall(cells):
+    """Pairs at a cosine of exactly 0.9, random and clustered, share a cell: one set of directions, and two."""
+    sets = neardup.cell_sets(cells * neardup.CELL_ROWS)
+    assert np.prod(sets) >= cells and len(sets) == 1 + (cells > neardup.SINGLE)
+    toward = [neardup.directions(64, k, i) for i, k in enumerate(sets)]
+    for spread in (1.0, 0.3):  # the latter around few centres
+        x = neardup.unit(RNG.normal(size=(8, 64))[RNG.integers(8, size=2000)] * (spread < 1) + spread * RNG.normal(size=(2000, 64)))
+        z = RNG.normal(size=x.shape)
+        y = 0.9 * x + np.sqrt(0.19) * neardup.unit(z - (z * x).sum(1, keepdims=True) * x)
+        a, b = neardup.home_cells(x, toward), neardup.home_cells(y, toward)
+        assert (a[:, :, None] == b[:, None, :]).any((1, 2)).mean() > 0.97
+
+
 def plain_links(rows, threshold):
     v = np.array([np.array(x, np.float64) / np.linalg.norm(np.array(x, np.float64)) for _, x in rows])
     linked = v @ v.T >= threshold
