@@ -1,11 +1,12 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands, exact verification.
-
-Each distinct text is the set of its five-word shingles. Texts whose MinHash values agree in one of 24
-bands of 5 meet; at similarity 0.8 a pair misses all bands with probability (1 - 0.8**5)**24 < 1e-4.
-First every bucket's members are held against its least and its largest member only, which is linear
-in the bucket and joins dense groups. Then, only in buckets that still hold several components, all
-pairs across components are verified, so no pair that shares a bucket is left undecided. Every link
-is verified on the whole shingle sets.
+"""Near copies by the Jaccard similarity of word shingles: SimHash balls and MinHash bands, exact verification.
+
+Each distinct text is the set of its five-word shingles. Its SimHash over them is a 64-bit fingerprint, and
+fingerprints within 3 bits meet by ball hashing (see ``simhash``). Similarity 0.8 lies near 10 differing bits,
+far beyond what balls can reach, so texts whose MinHash values agree in one of 24 bands of 5 meet as well; at
+similarity 0.8 a pair misses all bands with probability (1 - 0.8**5)**24 < 1e-4. First every bucket's members
+are held against its least and its largest member only, which is linear in the bucket and joins dense groups.
+Then, only in buckets that still hold several components, all pairs across components are verified, so no pair
+that shares a bucket is left undecided. Every link, of balls and of bands, is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import checkpoint, id_and_text, trim_memory
 from tessella.llm.components import connected_components
+from tessella.llm.simhash import links
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -56,18 +58,28 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash as a signed long: each bit that is set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        counts += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
-        keys, nodes = [], []
+        keys, nodes, prints = [], [], []
         for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if node not in seen:
                 seen.add(node)
-                keys += band_keys(shingles(text))
-                nodes += [node] * BANDS
+                found = shingles(text)
+                keys += [*band_keys(found), majority(found)]
+                nodes += [node] * (BANDS + 1)
+                prints += [False] * BANDS + [True]
         if len(seen) > SEEN:
             seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prints, pa.bool_())], ["key", "node", "is_print"])
     trim_memory()
 
 
@@ -88,6 +100,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return size.where(F.col("n") >= similarity * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
 
+def _ball_pairs(prints: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)``: texts of one fingerprint with the least of them, and the least of fingerprints within 3 bits."""
+    least = checkpoint(prints.groupBy("fp").agg(F.min("node").alias("node")))
+    same = prints.join(least.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b"))
+    near = links(least.select("fp"), least.count()).toDF("fa", "fb")
+    near = near.join(least.toDF("fa", "a"), "fa").join(least.toDF("fb", "b"), "fb").select("a", "b")
+    return same.where("a <> b").unionByName(near)
+
+
 def node_of(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
@@ -100,15 +121,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all ids of it are null; an empty table gives an empty one. Other columns are not read.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("node", node_of("text"))
-    emitted = checkpoint(rows.select("node", "text").mapInArrow(_emit, "key long, node long"))
+    emitted = checkpoint(rows.select("node", "text").mapInArrow(_emit, "key long, node long, is_print boolean"))
+    balls = checkpoint(_ball_pairs(emitted.where("is_print").select(F.col("key").alias("fp"), "node").distinct()))
+    emitted = emitted.where("NOT is_print").select("key", "node")
     ends = emitted.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     met = checkpoint(emitted.join(ends, "key").distinct())
     to_ends = met.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("node").alias("b")), F.struct(F.col("hi").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.*")
-    first = checkpoint(to_ends.where("a <> b").distinct())
-    wanted = met.select("node").distinct()
+    first = checkpoint(to_ends.where("a <> b").unionByName(balls).distinct())
+    wanted = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.select("node")).distinct()
     sets = checkpoint(rows.select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>"))
-    links = checkpoint(_verified(first, sets, similarity))
-    label = connected_components(links)
+    linked = checkpoint(_verified(first, sets, similarity))
+    label = connected_components(linked)
     named = met.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class"))
     open_keys = named.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("key")
     left = checkpoint(named.join(open_keys, "key"))
@@ -117,7 +140,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = checkpoint(across.join(done, ["a", "b"], "left_anti"))
     more = checkpoint(_verified(rest, sets, similarity))
-    joined = connected_components(links.unionByName(more))
+    joined = connected_components(linked.unionByName(more))
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = ids.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("class"))
     heads = classes.groupBy("class").agg(F.min("least").alias("component_id"))
