@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import packing, pii, shingles, substrings, toxicity
-from tessella.llm.common import fresh_path
+from tessella.llm.common import fresh_path, made, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,7 +23,11 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the index is fitted on a bounded labelled sample of them."""
+    """Documents that score below the threshold; the index is fitted on a bounded labelled sample of them.
+
+    Rows are judged one by one, so repeats and ties share their fate; null and empty texts score low and stay;
+    an empty table gives an empty one; other columns than those of ``documents`` are dropped.
+    """
     index = toxicity.fit(toxicity.bounded_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), corpus=docs)
     return docs.select(*COLUMNS).where(toxicity.score_column(index)(F.col("text")) < toxicity.THRESHOLD)
 
@@ -32,7 +36,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each group of texts that links of similarity 0.8 or more join.
 
     Similarity is the Jaccard similarity of five-word shingles. Rows are told apart by id and text, so different
-    texts under one id are judged each for itself. Rows without an id can't be named and stay.
+    texts under one id are judged each for itself; of rows equal in both one stays. Rows without an id can't be
+    named and stay, copies included. Null texts and texts without words are copies of each other. An empty table
+    gives an empty one; other columns than those of ``documents`` are dropped.
     """
     named = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
     found = shingles.near_copies(named)
@@ -42,7 +48,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the repeated bytes; a character that lost some of its bytes goes whole."""
+    """Texts without the repeated bytes; a character that lost some of its bytes goes whole.
+
+    A null text becomes empty; rows of one id never take from each other; a null id counts as larger than any
+    other; an empty table gives an empty one; other columns than those of ``documents`` are dropped.
+    """
     left = substrings.remove_repeats(docs, carry=("lang", "source"))
     return _sized(left.withColumn("text", _decoded("kept")))
 
@@ -58,10 +68,16 @@ def _decoded(col: str):
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with every span of personal data replaced by its kind; the field is fitted on a bounded sample of them.
+
+    Null and empty texts stay as they are, rows are worked on one by one, an empty table gives an empty one, and
+    other columns than those of ``documents`` are dropped.
+    """
     return _sized(pii.redact(docs, pii.fit(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of at most 1024 ids, one row a piece; see ``packing.pack_documents`` for odd rows."""
     return packing.pack_documents(docs)
 
 
@@ -76,9 +92,13 @@ ORACLE_SQL = None  # no stage is expressible in SQL; tests hold the stages again
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over ``documents``; what a stage has read and passed between its jobs goes once it is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
+        before = set(made())
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        remove(spark, [p for p in made() if p not in before and p != path] + last)
+        last = [path]
     return docs
