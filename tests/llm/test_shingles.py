@@ -69,3 +69,27 @@ def test_different_texts_under_one_id_both_stay(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = [(r["doc_id"], r["text"]) for r in p.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted([(0, c), (1, a), (1, b), (None, b)], key=str)
+
+
+def test_blocks_of_large_buckets_give_the_same_components(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 4, 6, 8])):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10_000)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(shingles.shingles(t).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    while True:
+        new = [min(label[j] for j in range(len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(texts))]
+        if new == label:
+            break
+        label = new
+    for tokens in (300, 1_000_000):
+        monkeypatch.setattr(shingles, "BLOCK_TOKENS", tokens)
+        got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs).collect()}
+        assert got == dict(enumerate(label))
+    assert 1 < len(set(label)) < len(texts)
