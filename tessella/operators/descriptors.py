@@ -6,7 +6,7 @@ returns one row per group. A metric that cannot be computed is null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import average_rank, edge_bin, equal_bin, hash_rank
@@ -83,9 +83,51 @@ def with_splits(obs: DataFrame) -> DataFrame:
     return both.withColumn("part", F.explode(F.array(F.lit("full"), F.concat(F.lit("half"), F.col("half").cast("string")))))
 
 
+def one_pass(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``by, n, c, y``, each of ``sums``, ``rel10, ece10, a3``: everything from one shuffle by group.
+
+    Bins are summed first and then the groups, which the same partitioning serves; values must not be null.
+    """
+    y = F.col("y").cast("double")
+    cells = rows.groupBy(*by, equal_bin("c").alias("bin")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum(y).alias("y"), *[F.sum(e).alias(k) for k, e in sums.items()])
+    gap = F.col("c") - F.col("y")
+    out = cells.groupBy(*by).agg(
+        *[F.sum(k).alias(k) for k in ("n", "c", "y", *sums)],
+        F.sum(gap * gap / F.col("n")).alias("rel10"), F.sum(F.abs(gap)).alias("ece10"), F.sum(F.col("y") * F.col("y") / F.col("n")).alias("a3"),
+    )
+    share = {k: (F.col(k) / F.col("n")).alias(k) for k in ("rel10", "ece10")}
+    spread = (F.col("a3") / F.col("n") - F.pow(F.col("y") / F.col("n"), 2)).alias("a3")
+    return out.select(*by, "n", "c", "y", *sums, *share.values(), spread)
+
+
+def in_confidence_order(obs: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``rn``, the place from the most confident on, and ``n``, the size of the group."""
+    part = Window.partitionBy(*by)
+    return obs.withColumn("rn", F.row_number().over(part.orderBy(F.col("c").desc(), "item_id"))).withColumn("n", F.count("*").over(part))
+
+
+def half_coverage(rn: str = "rn", n: str = "n") -> Column:
+    return F.col(rn) <= F.floor((F.col(n) + 1) / 2)
+
+
 def ab_metrics(obs: DataFrame, by: list[str] = MODEL) -> DataFrame:
-    """All A and B metrics, joined on the group."""
-    out = auroc(obs, by)
-    for part in (ranked_risk(obs, by).select(*by, "a2", "a4", "a5"), resolution(obs, by), error_means(obs, by), top_loss(obs, by)):
-        out = out.join(part, by)
-    return out
+    """All A and B metrics of valid observations: one shuffle by group, three orders in it, no join."""
+    part = Window.partitionBy(*by)
+    top, rising = part.orderBy(F.col("c").desc(), "item_id"), part.orderBy("c")
+    rows = in_confidence_order(obs.select(*by, "item_id", "y", "c", "e", "z", "nll", "depth", "hn"), by)
+    rows = rows.withColumn("run", F.avg("e").over(top.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("r", F.rank().over(rising) + (F.count("*").over(rising.rangeBetween(0, 0)) - 1) / 2)
+    rows = rows.withColumn("zn", F.row_number().over(part.orderBy(F.col("z").desc(), "item_id")))
+    e, c = F.col("e"), F.col("c")
+    first = lambda col, q, place="rn": F.when(F.col(place) <= F.ceil(F.lit(q) * F.col("n")), F.col(col)).otherwise(0.0)
+    sums = {
+        "r": F.when(F.col("y"), F.col("r")).otherwise(0.0), "a2": F.col("run"), "a4": first("e", 0.10), "a5": first("e", 0.25), "b1": F.col("nll"), "b2": e * c, "b3": e * c * c,
+        "b4": F.col("z"), "b5": first("z", 0.10, "zn"), "b6": F.col("depth"), "b7": F.col("hn"),
+    }
+    out = one_pass(rows, by, sums)
+    n, p = F.col("n"), F.col("y")
+    a1 = (F.col("r") - p * (p + 1) / 2) / F.when((p > 0) & (p < n), p * (n - p))
+    shares = [(F.col(k) / n).alias(k) for k in ("b1", "b2", "b3", "b4", "b6", "b7")]
+    tops = [(F.col(k) / F.ceil(F.lit(q) * n)).alias(k) for k, q in (("a4", 0.10), ("a5", 0.25), ("b5", 0.10))]
+    reason = F.when(a1.isNull(), "SINGLE_CLASS").otherwise("").alias("a1_reason")
+    return out.select(*by, a1.alias("a1"), reason, (F.col("a2") / n).alias("a2"), "a3", *tops, *shares)

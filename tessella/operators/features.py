@@ -21,16 +21,21 @@ PACKAGES = {"base": ["acc"], "confidence": ["acc", "conf", "over"], "calibration
 def score_targets(obs: DataFrame) -> DataFrame:
     """``model_id, org_id, y_cal, y_sel, n_valid, k_selected`` on the second benchmark."""
     by = ["model_id", "org_id"]
-    risk = descriptors.ranked_risk(obs, by).select(*by, F.col("r50").alias("y_sel"))
-    n = obs.groupBy(*by).agg(F.count("*").alias("n_valid")).withColumn("k_selected", F.floor((F.col("n_valid") + 1) / 2))
-    return n.join(risk, by).join(descriptors.calibration(obs, by).select(*by, F.col("rel10").alias("y_cal")), by)
+    rows = descriptors.in_confidence_order(obs.select(*by, "item_id", "c", "y", "e"), by)
+    out = descriptors.one_pass(rows, by, {"r50": F.when(descriptors.half_coverage(), F.col("e")).otherwise(0.0)})
+    k = F.floor((F.col("n") + 1) / 2)
+    return out.select(*by, F.col("n").alias("n_valid"), k.alias("k_selected"), (F.col("r50") / k).alias("y_sel"), F.col("rel10").alias("y_cal"))
 
 
 def summaries(obs: DataFrame) -> DataFrame:
-    """The nine summaries of each model, and its organisation."""
+    """The nine summaries of each model, and its organisation: one shuffle by model."""
     by = ["model_id", "org_id"]
-    out = descriptors.means(obs, by).join(descriptors.calibration(obs, by), by)
-    return out.join(descriptors.ranked_risk(obs, by).select(*by, "r50"), by).select(*by, *SUMMARIES)
+    plain = ["brier", "h", "margin"]
+    rows = descriptors.in_confidence_order(obs.select(*by, "item_id", "c", "y", "e", *plain), by)
+    out = descriptors.one_pass(rows, by, {"r50": F.when(descriptors.half_coverage(), F.col("e")).otherwise(0.0)} | {k: F.col(k) for k in plain})
+    n = F.col("n")
+    out = out.select(*by, (F.col("y") / n).alias("acc"), (F.col("c") / n).alias("conf"), (F.col("r50") / F.floor((n + 1) / 2)).alias("r50"), "rel10", "ece10", *[(F.col(k) / n).alias(k) for k in plain])
+    return out.withColumn("over", F.col("conf") - F.col("acc")).select(*by, *SUMMARIES)
 
 
 def group_weights(rows: DataFrame, by: list[str], org: str = "org_id") -> DataFrame:

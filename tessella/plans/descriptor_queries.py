@@ -51,9 +51,11 @@ RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY
 
 @query("model_summary", with_obs(f"SELECT {sql_shown('model_id, a.n', 'acc; conf; over; rel10; r50')} FROM (SELECT model_id, count(*) AS n, avg(y::INT) AS acc, avg(c) AS conf, avg(c) - avg(y::INT) AS over FROM obs GROUP BY 1) a JOIN (SELECT model_id, sum(w * (mc - my) * (mc - my)) AS rel10 FROM weighed GROUP BY 1) USING (model_id) JOIN (SELECT model_id, avg(e) FILTER (rn <= (n + 1) // 2) AS r50 FROM ranked GROUP BY 1) USING (model_id)", BINNED, RANKED))
 def model_summary(spark, sf):
-    obs = _obs(spark, sf)
-    out = d.means(obs).select("model_id", "n", "acc", "conf", "over").join(d.calibration(obs).select("model_id", "rel10"), "model_id")
-    return shown(out.join(d.ranked_risk(obs).select("model_id", "r50"), "model_id"))
+    rows = d.in_confidence_order(_obs(spark, sf).select("model_id", "item_id", "c", "y", "e"), ["model_id"])
+    out = d.one_pass(rows, ["model_id"], {"r50": F.when(d.half_coverage(), F.col("e")).otherwise(0.0)})
+    n = F.col("n")
+    out = out.select("model_id", "n", (F.col("y") / n).alias("acc"), (F.col("c") / n).alias("conf"), ((F.col("c") - F.col("y")) / n).alias("over"), "rel10", (F.col("r50") / F.floor((n + 1) / 2)).alias("r50"))
+    return shown(out)
 
 
 @query("item_projection", with_obs(f"SELECT {sql_shown('model_id, item_id, y', 'ell; c; e; z; nll; depth; hn; brier; h; margin', 7)} FROM obs"))
@@ -87,10 +89,10 @@ def validity_filter(spark, sf):
     return judged.groupBy("model_id").agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"))
 
 
-@query("nonfinite_mask", with_obs("SELECT model_id, count(*) AS n_masked FROM def WHERE m1 IS NULL GROUP BY model_id", DEFECTS))
+@query("nonfinite_mask", with_obs("SELECT model_id, count(*) AS n_masked FROM def WHERE NOT coalesce(isfinite(m1), false) OR (k >= 2 AND NOT coalesce(isfinite(l2), false)) OR (k >= 3 AND NOT coalesce(isfinite(l3), false)) GROUP BY model_id", DEFECTS))
 def nonfinite_mask(spark, sf):
     rows = adapters.defective_responses(spark, sf)
-    return rows.where(items.nonfinite_loglik(rows) & (F.col("item_id").cast("int") % 23 == 0)).groupBy("model_id").agg(F.count("*").alias("n_masked"))
+    return rows.where(items.nonfinite_loglik(rows)).groupBy("model_id").agg(F.count("*").alias("n_masked"))
 
 
 @query("means", with_obs(f"SELECT {sql_shown('model_id, count(*) AS n', 'avg(y::INT) AS acc; avg(c) AS conf; avg(brier) AS brier; avg(h) AS h; avg(margin) AS margin; avg(c) - avg(y::INT) AS over')} FROM obs GROUP BY model_id"))
@@ -169,10 +171,10 @@ def item_halves(spark, sf):
     return d.item_halves(_obs(spark, sf)).withColumn("half", F.col("half").cast("int"))
 
 
-@query("hash_sample", with_obs("SELECT model_id FROM (SELECT DISTINCT model_id FROM obs) ORDER BY sha256('20260914|' || model_id), model_id LIMIT 50"))
+@query("hash_sample", with_obs("SELECT model_id FROM (SELECT DISTINCT model_id FROM obs) ORDER BY sha256('20260914|' || model_id), model_id LIMIT 100"))
 def hash_sample(spark, sf):
     ids = _obs(spark, sf).select("model_id").distinct()
-    return ids.orderBy(F.sha2(F.concat(F.lit("20260914|"), "model_id"), 256), "model_id").limit(50)
+    return ids.orderBy(F.sha2(F.concat(F.lit("20260914|"), "model_id"), 256), "model_id").limit(100)
 
 
 @query("cells", with_obs(f"SELECT {sql_shown('model_id, item_id', 'round(CASE gold WHEN 0 THEN l1 WHEN 1 THEN l2 ELSE l3 END, 6) AS lp_mean; round(CASE gold WHEN 0 THEN l1 WHEN 1 THEN l2 ELSE l3 END, 4) AS lp_sum; (y)::INT::DOUBLE AS bin; round(c, 6) AS conf', 6)} FROM resp JOIN obs USING (model_id, item_id)"))

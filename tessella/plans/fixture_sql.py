@@ -56,7 +56,3 @@ HALVES = "halves AS (SELECT item_id, (row_number() OVER (ORDER BY sha256('202609
 def with_obs(body: str, *more: str) -> str:
     """A statement over ``resp`` and ``obs``; ``more``: further common tables."""
     return "WITH " + ",\n".join([responses(), observations(), *more]) + "\n" + body
-
-
-def rounded(columns: list[str], digits: int = 8) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)

@@ -71,6 +71,24 @@ def ridge_one_feature(spark, sf):
     return shown(_ridge(spark, sf).select("model_id", "lam", "truth", "pred"))
 
 
+TWO = """w AS (SELECT *, 1.0::DOUBLE / ((SELECT count(DISTINCT org_id) FROM ft) * count(*) OVER (PARTITION BY org_id)) AS v FROM ft),
+    mom AS (SELECT sum(v * acc) AS m1, sum(v * conf) AS m2, sum(v * y_sel) AS my, sqrt(sum(v * acc * acc) - sum(v * acc) * sum(v * acc)) AS s1, sqrt(sum(v * conf * conf) - sum(v * conf) * sum(v * conf)) AS s2,
+        sum(v * acc * conf) - sum(v * acc) * sum(v * conf) AS c12, sum(v * acc * y_sel) - sum(v * acc) * sum(v * y_sel) AS c1y, sum(v * conf * y_sel) - sum(v * conf) * sum(v * y_sel) AS c2y FROM w),
+    std AS (SELECT *, c12 / (s1 * s2) AS r, c1y / s1 AS a, c2y / s2 AS b FROM mom),
+    ridge AS (SELECT model_id, lam, y_sel AS truth, greatest(0.0::DOUBLE, least(1.0::DOUBLE, my + ((1 + lam) * a - r * b) / ((1 + lam) * (1 + lam) - r * r) * (acc - m1) / s1 + ((1 + lam) * b - r * a) / ((1 + lam) * (1 + lam) - r * r) * (conf - m2) / s2)) AS pred
+        FROM w, std, (SELECT unnest([0.01::DOUBLE, 1.0::DOUBLE, 100.0::DOUBLE]) AS lam))"""
+
+
+@query("ridge_two_features", with_obs(f"SELECT {sql_shown('model_id, lam', 'truth; pred')} FROM ridge", SUMMARY, SEL, TWO))
+def ridge_two_features(spark, sf):
+    """Two features and one of no spread, which gets no coefficient."""
+    rows = f.group_weights(_table(spark, sf), []).withColumn("flat", F.lit(3.0))
+    three = {"pair": ["acc", "conf", "flat"]}
+    fits = f.ridge_fits(rows, [], three, ["y_sel"], [0.01, 1.0, 100.0])
+    preds = f.predict(rows.select("model_id", "org_id", "acc", "conf", "flat", F.col("y_sel").alias("truth")), fits, [], three)
+    return shown(preds.select("model_id", "lam", "truth", "pred"))
+
+
 LOSS = RIDGE + ", loss AS (SELECT lam, avg(m) AS loss FROM (SELECT lam, org_id, avg(pow(truth - pred, 2)) AS m FROM ridge GROUP BY ALL) GROUP BY lam)"
 
 
@@ -112,7 +130,7 @@ def simultaneous_intervals(spark, sf):
     key = ["package", "target"]
     diffs = inf.loss_differences(inf.group_losses(preds, key), ["target"])
     per_fold = inf.loss_differences(inf.group_losses(preds, [*key, "outer"]), ["target", "outer"]).groupBy(*key, "outer").agg(F.avg("d").alias("delta"))
-    return shown(inf.simultaneous(diffs, key, per_fold, n_boot=500))
+    return shown(inf.simultaneous(diffs, key, per_fold))
 
 
 @query("descriptive_intervals")
@@ -138,7 +156,7 @@ JACK = "fam AS (SELECT *, model_id::INT % 6 AS family FROM ft)"
 
 
 @query("jackknife", with_obs(f"""SELECT {sql_shown('n_families', 'point; mean; lo AS "min"; hi AS "max"; se; point - 1.96 * se AS low; point + 1.96 * se AS high')} FROM (SELECT (SELECT corr(acc, y_sel) FROM fam) AS point, count(*) AS n_families, avg(v) AS mean, min(v) AS lo, max(v) AS hi, sqrt((count(*) - 1) * var_pop(v)) AS se
-        FROM (SELECT k, corr(acc, y_sel) AS v FROM fam, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE family <> k GROUP BY k))""", SUMMARY, SEL, JACK))
+        FROM (SELECT k, corr(acc, y_sel) AS v FROM fam, (SELECT unnest([0, 1, 2, 3, 4]) AS k) WHERE family <> k GROUP BY k HAVING count(*) >= 10))""", SUMMARY, SEL, JACK))
 def jackknife(spark, sf):
     rows = _table(spark, sf).withColumn("family", F.col("model_id").cast("int") % 6)
     return shown(inf.jackknife_corr(rows, rows.select("family").where("family < 5"), "acc", "y_sel"))

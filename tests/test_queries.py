@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, sf_dir, engine, name):
     assert canonical(got, columns) == canonical(want, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"simultaneous_intervals"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).columns
 
