@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import guarded_corr, spearman
@@ -89,6 +91,21 @@ def ridge_two_features(spark, sf):
     return shown(preds.select("model_id", "lam", "truth", "pred"))
 
 
+BOTH = RIDGE + ", " + re.sub(r"\b(w|mom|ridge)\b", r"\g<1>_two", TWO) + """, errors AS (SELECT 'base' AS package, 0 AS place, org_id, pow(truth - pred, 2) AS e FROM ridge WHERE lam = 0.01
+    UNION ALL SELECT 'pair', 1, org_id, pow(truth - pred, 2) FROM ridge_two JOIN (SELECT model_id, org_id FROM ft) USING (model_id) WHERE lam = 0.01),
+    by_package AS (SELECT package, place, avg(m) AS loss FROM (SELECT package, place, org_id, avg(e) AS m FROM errors GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("select_package", with_obs("SELECT package FROM by_package WHERE loss <= (SELECT min(loss) FROM by_package) + 1e-12 ORDER BY place LIMIT 1", SUMMARY, SEL, BOTH))
+def select_package(spark, sf):
+    rows = f.group_weights(_table(spark, sf), [])
+    packages = {"base": ["acc"], "pair": ["acc", "conf"]}
+    fits = f.ridge_fits(rows, [], packages, ["y_sel"], [0.01])
+    preds = f.predict(rows.select("model_id", "org_id", "acc", "conf", F.col("y_sel").alias("truth")), fits, [], packages)
+    losses = f.group_mse(preds, ["package"]).withColumn("k", F.lit(0))
+    return f.select_package(losses, ["k"], list(packages)).select("package")
+
+
 LOSS = RIDGE + ", loss AS (SELECT lam, avg(m) AS loss FROM (SELECT lam, org_id, avg(pow(truth - pred, 2)) AS m FROM ridge GROUP BY ALL) GROUP BY lam)"
 
 
