@@ -35,6 +35,20 @@ def match_gold(rows: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*rows.columns, *[F.col("_best")[c].alias(c) for c in payload])
 
 
+def placed(rows: DataFrame, order: DataFrame, key: str) -> DataFrame:
+    """Rows with the ``position`` of their key in ``order`` (``key, position``); a key that is not listed stops the job."""
+    unknown = F.raise_error(F.concat(F.lit("unknown id: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return rows.join(order.select(key, "position"), key, "left").withColumn("position", F.coalesce("position", unknown.cast("int")))
+
+
+def with_truth(preds: DataFrame, targets: DataFrame) -> DataFrame:
+    """Predictions with the targets of their model; a model without a target, or of another organisation there, stops the job."""
+    truth = targets.withColumnRenamed("org_id", "_org").withColumn("_found", F.lit(True))
+    fault = F.when(F.col("_found").isNull(), "no target for model ").when(~F.col("org_id").eqNullSafe(F.col("_org")), "organisations differ for model ")
+    checked = F.when(fault.isNull(), F.col("org_id")).otherwise(F.raise_error(F.concat(fault, F.col("model_id"))).cast("string"))
+    return preds.join(truth, "model_id", "left").withColumn("org_id", checked).drop("_org", "_found")
+
+
 def eligibility(source: DataFrame, target: DataFrame, least_half: int, least_target: int) -> DataFrame:
     """Union of models with reasons against them: too few valid items in a half or the target, or two organisations.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import guarded_corr
+from tessella.functions.stats import equal_bin, guarded_corr
 from tessella.operators.relational import content_hash
 
 
@@ -77,3 +77,11 @@ def broken_seals(sealed: DataFrame, now: DataFrame, by: list[str]) -> DataFrame:
     a, b = sealed.select(*by, F.col("digest").alias("_a"), F.col("n").alias("_n")), now.select(*by, F.col("digest").alias("_b"), F.col("n").alias("_m"))
     both = a.join(b, by, "full_outer")
     return both.where(~(F.col("_a").eqNullSafe(F.col("_b")) & F.col("_n").eqNullSafe(F.col("_m")))).select(*by)
+
+
+def headline(obs: DataFrame, halves: DataFrame, scores: list[str]) -> DataFrame:
+    """One row: models, organisations, items, items of either half, occupied tenths of the confidence, range of each score."""
+    sizes = halves.agg(F.count("*").alias("n_items"), F.count_if(F.col("half") == 0).alias("n_first"), F.count_if(F.col("half") == 1).alias("n_second"))
+    ranges = [a for s in scores for a in (F.min(s).alias(f"{s}_min"), F.max(s).alias(f"{s}_max"))]
+    counts = obs.agg(F.countDistinct("model_id").alias("n_models"), F.countDistinct("org_id").alias("n_orgs"), F.countDistinct(equal_bin("c")).alias("n_bins"), *ranges)
+    return counts.crossJoin(sizes)  # one row on either side

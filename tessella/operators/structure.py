@@ -55,6 +55,13 @@ def set_hash(col: str, trailing: bool = False):
     return F.sha2(F.concat(lines, F.lit("\n")) if trailing else lines, 256)
 
 
+def largest_reference_set(obs: DataFrame, members: DataFrame) -> DataFrame:
+    """``context, ref_key, n_models``, one row: the reference set with the most models; ties go to the lesser key, then context."""
+    per_org = obs.groupBy("org_id").agg(F.countDistinct("model_id").alias("n"))
+    size = members.where("role = 'reference'").join(per_org, "org_id").groupBy("context", "ref_key").agg(F.sum("n").alias("n_models"))
+    return size.orderBy(F.col("n_models").desc(), "ref_key", "context").limit(1)
+
+
 def reference_ease(obs: DataFrame, members: DataFrame, least_valid: int = 20) -> DataFrame:
     """``ref_key, item_id, w, n_ref, n_ref_orgs``: organisation-equal smoothed error rate of each item.
 

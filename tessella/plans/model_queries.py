@@ -162,6 +162,12 @@ def cluster_r2(spark, sf):
     return shown(inf.percentile_interval(inf.cluster_r2(best, "truth", "pred").select(F.lit("r2").alias("metric"), F.col("r2").alias("m")), ["metric"]))
 
 
+@query("predictions_with_truth", with_obs(f"SELECT {sql_shown('model_id, org_id, lam', 'truth AS y_sel; pred')} FROM ridge", SUMMARY, SEL, RIDGE))
+def predictions_with_truth(spark, sf):
+    preds = _ridge(spark, sf).select("model_id", "org_id", "lam", "pred")
+    return shown(relational.with_truth(preds, f.score_targets(_obs(spark, sf, True)).select("model_id", "org_id", "y_sel")))
+
+
 @query("selection_study", with_obs(f"SELECT {sql_shown('org_id', 'chosen; oracle; chosen - oracle AS regret')} FROM (SELECT org_id, arg_min(truth, pred) AS chosen, min(truth) AS oracle FROM ridge JOIN cand USING (model_id, org_id) WHERE lam = 1 GROUP BY org_id)", SUMMARY, SEL, LOSS, CAND))
 def selection_study(spark, sf):
     preds = _ridge(spark, sf).where("lam = 1").withColumn("k", F.lit(0))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as x
 from tessella.functions.stats import z_score
-from tessella.operators import descriptors, items, relational as r, structure
+from tessella.operators import descriptors, items, relational as r, report, structure
 from tessella.plans.descriptor_queries import shown, sql_shown
 from tessella.plans.fixture_sql import HALVES, observations, responses, with_obs
-from tessella.plans.structure_queries import MEMBERS
+from tessella.plans.structure_queries import MEMBERS, NESTED
 from tessella.sources import adapters
 from tessella.sources.adapters import table
 
@@ -221,6 +222,25 @@ def coverage_counts(spark, sf):
     return _obs(spark, sf).agg(F.countDistinct("model_id").alias("n_models"), F.countDistinct("org_id").alias("n_orgs"), F.countDistinct("item_id").alias("n_items"), F.count("*").alias("n_cells"), F.countDistinct(equal_bin("c")).alias("n_bins"))
 
 
+@query("item_positions", with_obs("SELECT model_id, position::INT AS position, item_id FROM obs JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS position FROM (SELECT DISTINCT item_id FROM obs)) USING (item_id)"))
+def item_positions(spark, sf):
+    obs = _obs(spark, sf)
+    order = obs.select("item_id").distinct().withColumn("position", F.row_number().over(Window.orderBy("item_id")) - 1)  # one row an item
+    return r.placed(obs.select("model_id", "item_id"), order, "item_id").select("model_id", "position", "item_id")
+
+
+@query("headline_counts", with_obs(f"SELECT {sql_shown('count(DISTINCT model_id) AS n_models, count(DISTINCT org_id) AS n_orgs, count(DISTINCT least(floor(c * 10), 9)) AS n_bins, (SELECT count(*) FROM halves) AS n_items, (SELECT count(*) FROM halves WHERE half = 0) AS n_first, (SELECT count(*) FROM halves WHERE half = 1) AS n_second', 'min(ell) AS ell_min; max(ell) AS ell_max; min(c) AS c_min; max(c) AS c_max; min(z) AS z_min; max(z) AS z_max')} FROM obs", HALVES))
+def headline_counts(spark, sf):
+    obs = _obs(spark, sf)
+    return shown(report.headline(obs, descriptors.item_halves(obs), ["ell", "c", "z"]))
+
+
+@query("largest_reference_set", with_obs("SELECT context, ref_key, n_models FROM (SELECT context, sha256(string_agg(org_id, chr(10) ORDER BY org_id)) AS ref_key, sum(n)::BIGINT AS n_models FROM all_members JOIN (SELECT org_id, count(DISTINCT model_id) AS n FROM obs GROUP BY org_id) USING (org_id) WHERE role = 'reference' GROUP BY context) ORDER BY n_models DESC, ref_key, context LIMIT 1", NESTED))
+def largest_reference_set(spark, sf):
+    obs = _obs(spark, sf)
+    return structure.largest_reference_set(obs, structure.contexts(obs))
+
+
 @query("stage_costs", f"SELECT {sql_shown('event_type AS stage, count(*) AS n', 'sum(value) AS total; max(value) AS peak; quantile_cont(value, 0.25) AS q1; quantile_cont(value, 0.5) AS q2; quantile_cont(value, 0.75) AS q3', 6)} FROM events GROUP BY event_type")
 def stage_costs(spark, sf):
     q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
