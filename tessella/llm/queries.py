@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, neardup, packing, pieces, pii, simhash, substrings, topk, toxicity, warc
+from tessella.llm import bpe, chat, neardup, packing, pieces, pii, repair, simhash, substrings, topk, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +87,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_pack": op1_pack, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op7_repeats": op7_repeats, "op8_top_k": op8_top_k, "op9_near_vectors": op9_near_vectors, "op10_chat_format": op10_chat_format}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(_table(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(_table(spark, sf_dir, "conversations"))
+    return repair.conversations(repair.repair(damaged, copies_col="copies"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op4_pii": op4_pii, "op5_toxicity": op5_toxicity, "op6_pieces": op6_pieces, "op2_warc": op2_warc, "op3_simhash": op3_simhash, "op7_repeats": op7_repeats, "op8_top_k": op8_top_k, "op9_near_vectors": op9_near_vectors, "op10_chat_format": op10_chat_format, "op11_bpe": op11_bpe, "op12_repair": op12_repair, "op13_whitening": op13_whitening}
 
 
 def _escaped_sql(x: str) -> str:
