@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays
-from tessella.operators import features, inference, items, latent, report, structure
+from tessella.operators import boosting, features, inference, items, latent, report, structure
 from tessella.plans.descriptor_queries import shown, sql_shown
 from tessella.plans.fixture_sql import with_obs
 from tessella.plans.model_queries import _matrix, _nested, _table
@@ -97,17 +97,14 @@ def endpoint_verdicts(spark, sf):
 
 @query("boosted_trees")
 def boosted_trees(spark, sf):
-    """Spark's gradient-boosted trees on the summaries, organisation-weighted; clipped. Not the other library's trees."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = features.group_weights(_table(spark, sf), [])
-    packed = VectorAssembler(inputCols=features.SUMMARIES, outputCol="x").transform(rows)
-    fold = structure.folds(rows, 5)
-    packed = structure.checkpointed(packed.join(fold, "org_id").select("model_id", "org_id", "fold", "v", "y_sel", "x"))
-    model = GBTRegressor(featuresCol="x", labelCol="y_sel", weightCol="v", maxIter=10, maxDepth=3, stepSize=0.1, seed=20260914).fit(packed.where("fold <> 0"))
-    out = model.transform(packed.where("fold = 0"))
-    return shown(out.select("model_id", F.col("y_sel").alias("truth"), F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)).alias("pred")))
+    """Histogram boosting on the summaries: every fold predicted by all eight configurations, organisation-weighted."""
+    table = _table(spark, sf)
+    outer = structure.contexts(table).where("inner IS NULL").select("context", "org_id", "role")
+    rows = table.join(F.broadcast(outer), "org_id")
+    train = features.group_weights(rows.where("role = 'reference'"), ["context"])
+    rows = train.unionByName(rows.where("role = 'scored'").withColumn("v", F.lit(None).cast("double")))
+    preds = boosting.fit_and_predict(rows, ["context"], {"summaries": features.SUMMARIES}, ["y_sel"])
+    return shown(preds.join(table.select("model_id", F.col("y_sel").alias("truth")), "model_id").select("model_id", "context", "config", "truth", "pred"))
 
 
 @query("two_parameter_logistic")
