@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import average_rank, guarded_corr, hash_rank
+from tessella.functions.stats import guarded_corr, hash_rank
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -66,9 +66,10 @@ def reference_ease(obs: DataFrame, members: DataFrame, least_valid: int = 20) ->
     """``ref_key, item_id, w, n_ref, n_ref_orgs``: organisation-equal smoothed error rate of each item.
 
     ``members`` lists ``ref_key, org_id``. An item with fewer than ``least_valid`` responses has no ``w``.
+    Responses are summed per organisation before they meet the sets.
     """
-    per_org = obs.join(members.select("ref_key", "org_id").distinct(), "org_id").groupBy("ref_key", "item_id", "org_id").agg(F.sum("e").alias("k"), F.count("*").alias("n"))
-    per_item = per_org.groupBy("ref_key", "item_id").agg(F.avg((F.col("k") + 0.5) / (F.col("n") + 1)).alias("w"), F.sum("n").alias("n_ref"), F.count("*").alias("n_ref_orgs"))
+    per_org = obs.groupBy("item_id", "org_id").agg(F.sum("e").alias("k"), F.count("*").alias("n"))
+    per_item = per_org.join(members.select("ref_key", "org_id").distinct(), "org_id").groupBy("ref_key", "item_id").agg(F.avg((F.col("k") + 0.5) / (F.col("n") + 1)).alias("w"), F.sum("n").alias("n_ref"), F.count("*").alias("n_ref_orgs"))
     return per_item.withColumn("w", F.when(F.col("n_ref") >= least_valid, 1 - F.col("w")))
 
 
@@ -76,10 +77,11 @@ def c_metrics(obs: DataFrame, ease: DataFrame, by: list[str]) -> DataFrame:
     """C1-C3 weighted error, error times confidence and score gap; C4 spread of c - y over four ease bins.
 
     ``ease`` carries ``item_id, w`` and those of ``by`` that ``obs`` shares with it. Fewer than four items give no C4.
+    Items are binned by ease and, where ease is equal to twelve digits, by name: the order of a sum must not decide.
     """
     on = ["item_id", *[c for c in by if c in ease.columns and c in obs.columns]]
     rows = obs.join(ease.where("w IS NOT NULL"), on)
-    order = Window.partitionBy(*by).orderBy("w", "item_id")
+    order = Window.partitionBy(*by).orderBy(F.round("w", 12), "item_id")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*by))).withColumn("bin", F.floor(4 * (F.row_number().over(order) - 1) / F.col("n")))
     gap = F.col("c") - F.col("y").cast("double")
     bins = rows.groupBy(*by, "bin").agg(F.count("*").alias("m"), F.avg(gap).alias("g"), F.sum(F.col("w") * F.col("e")).alias("s1"), F.sum(F.col("w") * F.col("e") * F.col("c")).alias("s2"), F.sum(F.col("w") * F.col("z")).alias("s3"))
@@ -98,8 +100,12 @@ def line_fit(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def project_source(rows: DataFrame, by: list[str], least_items: int = 100) -> DataFrame:
     """Per-model projection on item positions ``b``: a, s, sigma (population), theta, logs and a reason for failure."""
-    fit = line_fit(rows, by)
-    resid = rows.join(fit, by).groupBy(*by).agg(F.sqrt(F.avg(F.pow(F.col("ell") - (F.col("a") - F.col("s") * F.col("b")), 2))).alias("sigma"))
+    return judged(line_fit(rows, by), rows, by, least_items)
+
+
+def judged(fit: DataFrame, rows: DataFrame, by: list[str], least_items: int = 100) -> DataFrame:
+    """The projection of lines that are fitted already (``by, n, a, s, var_b, var_ell``)."""
+    resid = rows.join(fit.select(*by, "a", "s"), by).groupBy(*by).agg(F.sqrt(F.avg(F.pow(F.col("ell") - (F.col("a") - F.col("s") * F.col("b")), 2))).alias("sigma"))
     out = fit.join(resid, by)
     reason = (
         F.when(F.col("n") < least_items, f"EVALUATION_ITEMS_LT{least_items}").when(F.col("var_b") <= 1e-12, "B_VARIANCE_LE1E12").when(F.col("var_ell") <= 1e-6, "ELL_VARIANCE_LE1E6")
@@ -191,16 +197,16 @@ def residuals(rows: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
 
 def residual_shape(res: DataFrame, by: list[str]) -> DataFrame:
     """D1 share of energy in negative residuals, D2 excess kurtosis, D3 Spearman of |r| and b, D4 Pearson of r and b squared."""
-    r = F.col("r")
+    r, b = F.col("r"), F.col("b")
+    place = lambda v: F.rank().over(Window.partitionBy(*by).orderBy(v)) + (F.count("*").over(Window.partitionBy(*by).orderBy(v).rangeBetween(0, 0)) - 1) / F.lit(2.0)
+    ranked = res.select(*by, "r", "b", place(F.abs(r)).alias("x"), place(b).alias("y"))
     energy, var = F.sum(r * r), F.var_pop("r")
-    basic = res.groupBy(*by).agg(
+    return ranked.groupBy(*by).agg(
         F.when(energy > 1e-12, F.sum(F.pow(F.least(r, F.lit(0.0)), 2)) / F.when(energy > 1e-12, energy)).alias("d1"),
         F.when(var > 1e-12, F.kurtosis("r")).alias("d2"),
-        guarded_corr("r", F.col("b") * F.col("b"), 2, 1e-12).alias("d4"),
+        guarded_corr("x", "y", 2, 1e-12).alias("d3"),
+        guarded_corr("r", b * b, 2, 1e-12).alias("d4"),
     )
-    ranked = res.withColumn("ar", F.abs(r))
-    ranked = ranked.select(*by, average_rank(by, "ar").alias("x"), average_rank(by, "b").alias("y"))
-    return basic.join(ranked.groupBy(*by).agg(guarded_corr("x", "y", 2, 1e-12).alias("d3")), by).select(*by, "d1", "d2", "d3", "d4")
 
 
 def combine_directions(shape: DataFrame, by: list[str], metrics: tuple[str, ...] = ("d1", "d2", "d3", "d4"), direction: str = "direction") -> DataFrame:

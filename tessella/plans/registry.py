@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessella.plans import descriptor_queries, file_queries, model_queries, relational_queries, report_queries, structure_queries
+from tessella.plans import crossfit_queries, descriptor_queries, file_queries, model_queries, relational_queries, report_queries, structure_queries
 
-_MODULES = [descriptor_queries, structure_queries, relational_queries, model_queries, file_queries, report_queries]
+_MODULES = [descriptor_queries, structure_queries, crossfit_queries, relational_queries, model_queries, file_queries, report_queries]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

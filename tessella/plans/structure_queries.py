@@ -66,7 +66,7 @@ def reference_ease(spark, sf):
 @query("c_metrics", with_obs(f"""SELECT {sql_shown('context, model_id', 'c1; c2; c3; c4')} FROM (
         SELECT context, model_id, any_value(a1) AS c1, any_value(a2) AS c2, any_value(a3) AS c3, CASE WHEN any_value(n) >= 4 THEN sum(m / n * pow(g - mean, 2)) END AS c4 FROM (
             SELECT context, model_id, bin, count(*) AS m, avg(gap) AS g, any_value(n) AS n, any_value(mean) AS mean, any_value(a1) AS a1, any_value(a2) AS a2, any_value(a3) AS a3 FROM (
-                SELECT *, floor(4 * (row_number() OVER (PARTITION BY context, model_id ORDER BY w, item_id) - 1) / (count(*) OVER p)) AS bin, count(*) OVER p AS n, avg(gap) OVER p AS mean, avg(w * e) OVER p AS a1, avg(w * e * c) OVER p AS a2, avg(w * z) OVER p AS a3 FROM (
+                SELECT *, floor(4 * (row_number() OVER (PARTITION BY context, model_id ORDER BY round(w, 12), item_id) - 1) / (count(*) OVER p)) AS bin, count(*) OVER p AS n, avg(gap) OVER p AS mean, avg(w * e) OVER p AS a1, avg(w * e * c) OVER p AS a2, avg(w * z) OVER p AS a3 FROM (
                     SELECT context, model_id, item_id, w, e, c, z, c - y::INT AS gap FROM obs JOIN members USING (org_id) JOIN ease USING (context, item_id) WHERE role = 'scored' AND w IS NOT NULL)
                 WINDOW p AS (PARTITION BY context, model_id)) GROUP BY ALL) GROUP BY ALL)""", EASE))
 def c_metrics(spark, sf):
@@ -85,7 +85,7 @@ START = HALVES + """, means AS (SELECT half, item_id, avg(ell) AS m, count(*) AS
 
 def _rows(spark, sf):
     obs = _obs(spark, sf)
-    halved = obs.join(descriptors.item_halves(obs), "item_id")
+    halved = structure.checkpointed(obs.join(descriptors.item_halves(obs), "item_id").select("model_id", "org_id", "item_id", "half", "ell"))  # every branch reads this table
     return halved.join(structure.initial_positions(halved, ["half"]), ["half", "item_id"])
 
 
