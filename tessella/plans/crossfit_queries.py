@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import crossfit, descriptors, features, items, structure
+from tessella.operators import crossfit, descriptors, features, items, nested, structure
 from tessella.plans.descriptor_queries import shown, sql_shown
 from tessella.plans.fixture_sql import HALVES, with_obs
+from tessella.plans.model_queries import TARGET
 from tessella.plans.structure_queries import NESTED
 from tessella.sources import adapters
 
@@ -91,3 +92,38 @@ def _features(spark, sf):
 def context_features(spark, sf):
     """The table that training reads: summaries, C and D metrics and the projection of each model in each context."""
     return shown(_features(spark, sf).select("context", "model_id", "org_id", "reason", "acc", "conf", *crossfit.C, *crossfit.D, "theta", "log_s", "log_sigma"), 6)
+
+
+def _training_table(spark, sf):
+    targets = features.score_targets(items.valid_observations(adapters.responses_from_lineitem(spark, sf, True))).select("model_id", "y_cal", "y_sel")
+    return structure.checkpointed(_features(spark, sf).join(targets, "model_id"))
+
+
+@query("nested_grid")
+def nested_grid(spark, sf):
+    """The full design: 31 packages, 17 configurations, two targets, five outer by four inner folds, two procedures."""
+    return shown(nested.run(_training_table(spark, sf))[0])
+
+
+CHOICE = TARGET + """, goal AS (SELECT model_id, avg(e) FILTER (rn <= (n + 1) // 2) AS y_sel FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY c DESC, item_id) AS rn, count(*) OVER (PARTITION BY model_id) AS n FROM tobs) GROUP BY 1),
+    feat AS (SELECT base, part, m.model_id, m.org_id, acc, c1, y_sel FROM (SELECT context, model_id, any_value(org_id) AS org_id FROM obs JOIN sco USING (org_id) GROUP BY ALL) m JOIN (SELECT DISTINCT context, base, part FROM cf) USING (context)
+        JOIN (SELECT model_id, avg(y::INT) AS acc FROM obs GROUP BY 1) USING (model_id) JOIN goal USING (model_id) LEFT JOIN cm USING (context, model_id)),
+    long AS (SELECT base, part, model_id, org_id, y_sel AS y, 'B0' AS package, acc AS x FROM feat UNION ALL SELECT base, part, model_id, org_id, y_sel, 'P_c1', c1 FROM feat),
+    med AS (SELECT base, package, median(x) AS med FROM long WHERE part = 'train' GROUP BY ALL),
+    filled AS (SELECT base, part, model_id, org_id, y, package, coalesce(x, med) AS x FROM long JOIN med USING (base, package)),
+    orgs AS (SELECT base, package, org_id, count(*) AS k FROM filled WHERE part = 'train' GROUP BY ALL),
+    v AS (SELECT base, package, org_id, 1.0::DOUBLE / (k * count(*) OVER (PARTITION BY base, package)) AS v FROM orgs),
+    mom AS (SELECT base, package, sum(v * x) AS mx, sum(v * y) AS my, sum(v * x * x) - sum(v * x) * sum(v * x) AS vx, sum(v * x * y) - sum(v * x) * sum(v * y) AS cxy FROM filled JOIN v USING (base, package, org_id) WHERE part = 'train' GROUP BY ALL),
+    told AS (SELECT substr(base, 2, 1)::INT AS fold, base LIKE '%i%' AS inside, model_id, org_id, y, package, lam, greatest(0.0::DOUBLE, least(1.0::DOUBLE, my + cxy / (vx * (1 + lam)) * (x - mx))) AS pred
+        FROM filled JOIN mom USING (base, package), (SELECT unnest([1e-4::DOUBLE, 1e-3, 1e-2, 1e-1, 1, 10, 100, 1000, 10000]) AS lam) WHERE part = 'scored'),
+    loss AS (SELECT fold, package, lam, avg(m) AS loss FROM (SELECT fold, package, lam, org_id, avg(pow(y - pred, 2)) AS m FROM told WHERE inside GROUP BY ALL) GROUP BY ALL),
+    best AS (SELECT fold, package, arg_max(lam, lam) AS lam, arg_max(loss, lam) AS loss FROM (SELECT *, min(loss) OVER (PARTITION BY fold, package) AS low FROM loss) WHERE loss <= low + 1e-12 GROUP BY ALL),
+    final AS (SELECT model_id, org_id, t.fold, package, pred FROM told t JOIN best USING (fold, package, lam) WHERE NOT inside),
+    pick AS (SELECT fold, CASE WHEN max(loss) FILTER (package = 'B0') <= min(loss) + 1e-12 THEN 'B0' ELSE 'P_c1' END AS package FROM best GROUP BY fold)"""
+
+
+@query("nested_selection", with_obs(f"SELECT {sql_shown('model_id, org_id, outer_fold, package', 'pred', 6)} FROM (SELECT model_id, org_id, fold AS outer_fold, package, pred FROM final UNION ALL SELECT model_id, org_id, fold, 'SP', pred FROM final JOIN pick USING (fold, package))", POSITIONS, STRUCTURE, CHOICE))
+def nested_selection(spark, sf):
+    """Two packages of the nested design, a context-keyed one among them, and the procedure that chooses between them."""
+    preds, _ = nested.run(_training_table(spark, sf), {"B0": ["acc"], "P_c1": ["c1"]}, ("y_sel",), {"SP": ["B0", "P_c1"]}, families=("ridge",))
+    return shown(preds.where("algorithm = 'best'").select("model_id", "org_id", F.col("outer").cast("int").alias("outer_fold"), "package", "pred"), 6)
