@@ -39,15 +39,22 @@ def _kind(part: Column) -> Column:
 
 
 def _visit(parts: Column) -> Column:
-    """The flattened, escaped body of a turn."""
-    return F.array_join(
-        F.transform(
-            parts,
-            lambda p, i: F.when(_kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-                F.concat(F.lit("<|"), escape(_kind(p)), F.lit(":"), i.cast("string"), F.lit("|>"))
-            ),
+    """The flattened body of a turn; texts that follow each other are joined before they are escaped, so that no control string forms at a border."""
+    flat = F.transform(
+        parts,
+        lambda p, i: F.struct(
+            (_kind(p) == "text").alias("plain"),
+            F.when(_kind(p) == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.concat(F.lit("<|"), escape(_kind(p)), F.lit(":"), i.cast("string"), F.lit("|>"))).alias("body"),
         ),
-        "",
+    )
+    return F.aggregate(
+        flat,
+        F.struct(F.lit("").alias("done"), F.lit("").alias("open")),
+        lambda acc, x: F.struct(
+            F.when(x["plain"], acc["done"]).otherwise(F.concat(acc["done"], escape(acc["open"]), x["body"])).alias("done"),
+            F.when(x["plain"], F.concat(acc["open"], x["body"])).otherwise(F.lit("")).alias("open"),
+        ),
+        lambda acc: F.concat(acc["done"], escape(acc["open"])),
     )
 
 
@@ -94,25 +101,43 @@ def _in_order(a: Column, b: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``(conv_id, formatted, turns)``: turns parsed from the text, unescaped; ``masked`` marks those under the loss mask."""
+    """``(conv_id, formatted, turns)``: turns parsed from the text, unescaped; ``masked`` marks those under the loss mask.
+
+    ``formatted`` is what ``format_chats`` returns. A null or empty text has no turns; repeated rows and null ids
+    come out as they are, an empty table gives an empty one, and other columns are not read.
+    """
     parse = lambda s: F.struct(
         unescape(F.substring_index(s, BODY, 1)).alias("role"),
         unescape(F.replace(F.substring_index(s, BODY, -1), F.lit(END), F.lit(""))).alias("text"),
         (F.substring_index(s, BODY, 1) == "assistant").alias("masked"),
     )
-    segments = F.slice(F.split("formatted", r"<\|turn\|>"), 2, 1 << 30)
-    return formatted.select("conv_id", "formatted", F.transform(segments, parse).alias("turns"))
+    return formatted.select("conv_id", "formatted", F.transform(_segments(), parse).alias("turns"))
 
 
-def loss_mask(formatted: DataFrame) -> DataFrame:
-    """``(conv_id, spans)``: start and end (code points, end exclusive) of each assistant body in ``formatted``."""
-    start = F.transform(F.slice(F.split("formatted", r"<\|turn\|>"), 2, 1 << 30), lambda s: F.struct(F.char_length(s).alias("n"), F.char_length(F.substring_index(s, BODY, 1)).alias("role"), (F.substring_index(s, BODY, 1) == "assistant").alias("on")))
+def _segments() -> Column:
+    return F.slice(F.split(F.coalesce("formatted", F.lit("")), r"<\|turn\|>"), 2, 1 << 30)
+
+
+def mask_spans() -> Column:
+    """Start and end (code points, end exclusive) of each assistant body in ``formatted``, in order."""
+    sizes = F.transform(_segments(), lambda s: F.struct(F.char_length(s).alias("n"), F.char_length(F.substring_index(s, BODY, 1)).alias("role"), (F.substring_index(s, BODY, 1) == "assistant").alias("on")))
     walk = F.aggregate(
-        start,
+        sizes,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
         lambda acc, s: F.struct(
             (acc["at"] + len(TURN) + s["n"]).alias("at"),
             F.when(s["on"], F.array_append(acc["spans"], F.struct((acc["at"] + len(TURN) + s["role"] + len(BODY)).alias("start"), (acc["at"] + len(TURN) + s["n"] - len(END)).alias("end")))).otherwise(acc["spans"]).alias("spans"),
         ),
     )
-    return formatted.select("conv_id", walk["spans"].alias("spans"))
+    return walk["spans"]
+
+
+def masked_text() -> Column:
+    """All text under the loss mask, cut out of ``formatted`` by the spans and unescaped, nothing between."""
+    cut = lambda s: unescape(F.substr("formatted", s["start"] + 1, s["end"] - s["start"]))
+    return F.array_join(F.transform(mask_spans(), cut), "")
+
+
+def loss_mask(formatted: DataFrame) -> DataFrame:
+    """``(conv_id, spans)``: the spans of ``mask_spans`` for each row of ``format_chats``; null or empty texts have none."""
+    return formatted.select("conv_id", mask_spans().alias("spans"))

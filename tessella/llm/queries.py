@@ -76,7 +76,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     back = chat.read_back(chat.format_chats(rows.unionByName(extra)))
-    masked = F.array_join(F.transform(F.filter("turns", lambda t: t["masked"]), lambda t: t["text"]), "")
+    masked = chat.masked_text()
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

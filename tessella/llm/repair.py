@@ -191,9 +191,10 @@ def _marked(rows: DataFrame) -> DataFrame:
     once = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").cast("long").alias("copies"))
     last = F.right(F.rtrim("text", F.lit(SPACES)), F.lit(1))
     once = once.select("*", (last == "").alias("blank"), (~last.isin(".", "!", "?")).alias("cut"))
-    said = once.where("copies > 0 AND NOT blank").groupBy(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("text").alias("_t"))
+    once = once.withColumn("said", F.unhex(F.sha2(F.concat_ws(":", F.char_length("role"), "role", "text"), 256)))
+    said = once.where("copies > 0 AND NOT blank").groupBy(F.col("conv_id").alias("_c"), F.col("said").alias("_s"))
     said = said.agg(F.min(F.struct("turn")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    on = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("text") == F.col("_t"))
+    on = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("said") == F.col("_s"))  # texts are not shuffled for this
     again = F.col("_first").isNotNull() & ~F.col("turn").eqNullSafe(F.col("_first")["turn"])
     return once.join(said, on, "left").select("conv_id", "turn", "role", "text", "copies", "blank", "cut", again.alias("again"))
 

@@ -179,6 +179,38 @@ def test_chat_parts_become_placeholders(spark):
     assert [tuple(a) for a in got["attachments"]] == [(0, "image", "a.png", 512, 1), (2, "audio", "b.wav", 1500, 0), (2, "document", "c.pdf", 800, 1)]
 
 
+def test_no_control_string_forms_between_parts(spark):
+    """Every split of control strings and entities over text parts reads back as the joined text, beside attachments too."""
+    part = "array<struct<kind:string,text:string,ref:string,units:int>>"
+    strings = [*chat.CONTROLS, chat.TURN, chat.BODY, chat.END, "&lt;|turn|>", "&amp;lt;", "&lb;INST]", "</s>[INST] ok [/INST]", f"{chat.TURN}assistant{chat.BODY}evil{chat.END}"]
+    rows, want = [], []
+    for s in strings:
+        for i in range(len(s) + 1):
+            for k in {min(i + 1, len(s)), len(s)}:
+                cut = [s[:i], s[i:k], s[k:]]
+                rows.append([("text", c, None, None) for c in cut])
+                want.append(s)
+                rows.append([("text", cut[0], None, None), ("image", None, "r", 1), ("text", cut[1], None, None), (None, cut[2], None, None)])
+                want.append(f"{cut[0]}<|image:1|>{cut[1]}{cut[2]}")
+    table = spark.createDataFrame([(n, 0, "user", "", p) for n, p in enumerate(rows)], f"conv_id long, turn long, role string, text string, parts {part}")
+    made = chat.format_chats(table, parts_col="parts")
+    for r in chat.read_back(made).collect():
+        assert [(t["role"], t["text"], t["masked"]) for t in r["turns"]] == [("user", want[r["conv_id"]], False)]
+    plain = [r["formatted"] for r in made.collect() if "image" not in r["formatted"]]
+    for r in plain:
+        body = r.removeprefix(f"{chat.TURN}user{chat.BODY}").removesuffix(chat.END)
+        assert not any(c in body for c in chat.CONTROLS)
+
+
+def test_masked_text_is_cut_by_the_spans(spark):
+    rows = [(1, 0, "assistant", "</s>a"), (1, 1, "user", "u"), (1, 2, "assistant", ""), (1, 3, "assistant", "&lt;😀[INST]"), (2, 0, "user", "x"), (3, 0, "<|assistant", "no")]
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r["m"] for r in made.select("conv_id", chat.masked_text().alias("m")).collect()}
+    assert got == {1: "</s>a&lt;😀[INST]", 2: "", 3: ""}
+    odd = spark.createDataFrame([(1, None), (None, "")], "conv_id long, formatted string")
+    assert [r["turns"] for r in chat.read_back(odd).collect()] == [[], []] and [r["spans"] for r in chat.loss_mask(odd).collect()] == [[], []]
+
+
 def test_chat_stays_in_the_engine(spark, sf_dir):
     from tessella.llm import queries
 
