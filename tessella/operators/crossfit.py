@@ -11,10 +11,13 @@ the lines of reference models is one join of observations with positions, summed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.operators import descriptors, structure
+from tessella.operators import descriptors, relational, structure
 
 AB = ["a1", "a2", "a3", "a4", "a5", "b1", "b2", "b3", "b4", "b5", "b6", "b7"]
 C, D = ["c1", "c2", "c3", "c4"], ["d1", "d2", "d3", "d4"]
@@ -59,6 +62,36 @@ def fitted_positions(obs: DataFrame, members: DataFrame, **limits) -> tuple[Data
     return b, status
 
 
+def cached_positions(obs: DataFrame, members: DataFrame, path: str, fit: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """Positions of all sets, and how many sets were fitted for them: those in the store at ``path`` are read, the others fitted and added.
+
+    A set is found again by its organisations and by the content of the observations, so changed data are fitted
+    anew. ``fit(obs, members)`` gives ``ref_key, direction, item_id, b``. What one call adds carries its own
+    name, and counts only once the list of its sets is written, so a call that was cut off leaves nothing behind.
+    """
+    spark = obs.sparkSession
+    data = relational.content_hash(obs).select(F.concat_ws("|", "n", "digest")).first()[0]
+    keyed = members.withColumn("key", F.sha2(F.concat_ws("|", "ref_key", F.lit(data)), 256))
+    asked = keyed.select("ref_key", "key").distinct()
+    there = _exists(spark, f"{path}/sets")
+    known = spark.read.parquet(f"{path}/sets") if there else spark.createDataFrame([], "key string, call string")
+    new = structure.checkpointed(asked.join(known, "key", "left_anti"))
+    n = new.count()
+    if n:
+        call = uuid.uuid4().hex
+        found = fit(obs, keyed.join(new.select("key"), "key", "left_semi").drop("key")).join(new, "ref_key")
+        found.select("key", "direction", "item_id", "b", F.lit(call).alias("call")).write.mode("append").parquet(f"{path}/positions")
+        new.select("key", F.lit(call).alias("call")).write.mode("append").parquet(f"{path}/sets")
+    known, stored = spark.read.parquet(f"{path}/sets"), spark.read.parquet(f"{path}/positions")
+    first = known.groupBy("key").agg(F.min("call").alias("call"))  # two calls at once may both have fitted a set
+    return stored.join(first, ["key", "call"]).join(asked, "key").select("ref_key", "direction", "item_id", "b"), n
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def with_other_half(obs: DataFrame, members: DataFrame, positions: DataFrame, least_models: int = 20) -> DataFrame:
     """Positions of both halves in each direction's gauge: those of the other half from the lines of the reference models."""
     key = ["ref_key", "direction"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import crossfit, descriptors, features, items, nested, structure
+from tessella.operators import crossfit, descriptors, features, identity, items, nested, structure, transfer
 from tessella.plans.descriptor_queries import shown, sql_shown
 from tessella.plans.fixture_sql import HALVES, with_obs
 from tessella.plans.model_queries import TARGET
@@ -127,3 +127,108 @@ def nested_selection(spark, sf):
     """Two packages of the nested design, a context-keyed one among them, and the procedure that chooses between them."""
     preds, _ = nested.run(_training_table(spark, sf), {"B0": ["acc"], "P_c1": ["c1"]}, ("y_sel",), {"SP": ["B0", "P_c1"]}, families=("ridge",))
     return shown(preds.where("algorithm = 'best'").select("model_id", "org_id", F.col("outer").cast("int").alias("outer_fold"), "package", "pred"), 6)
+
+
+def _transferred(spark, sf, fitted):
+    """Slopes and traits on start positions of the first benchmark, carried to the second one."""
+    obs, target = (structure.checkpointed(items.valid_observations(adapters.responses_from_lineitem(spark, sf, t)).select("model_id", "org_id", "item_id", "ell")) for t in (False, True))
+    everyone = obs.withColumn("k", F.lit(0))
+    start = structure.initial_positions(everyone, ["k"]).where("b IS NOT NULL").drop("k")
+    source = structure.line_fit(obs.join(start, "item_id"), ["model_id", "org_id"]).select("model_id", "org_id", "s", (F.col("a") / F.when(F.col("s") > 1e-8, F.col("s"))).alias("theta"))
+    return transfer.transfer(source, target, fitted=fitted, least_models=5 if not fitted else 20)
+
+
+def _dealt(n: int) -> str:
+    """One shuffle of n organisations by the published generator, as SQL values; there are at most 25 organisations."""
+    import numpy as np
+
+    return ", ".join(f"({int(g)}, {k % 2})" for k, g in enumerate(np.random.default_rng(transfer.SEED).permutation(n)))
+
+
+TRANSFER = TARGET + f""", m0 AS (SELECT item_id, avg(ell) AS m FROM obs GROUP BY 1 HAVING count(*) >= 20), p0 AS (SELECT item_id, (avg(m) OVER () - m) / stddev_pop(m) OVER () AS b FROM m0),
+    src AS (SELECT model_id, org_id, s, a / s AS theta FROM (SELECT model_id, org_id, -covar_pop(ell, b) / var_pop(b) AS s, avg(ell) - covar_pop(ell, b) / var_pop(b) * avg(b) AS a FROM obs JOIN p0 USING (item_id) GROUP BY ALL) WHERE s > 1e-8),
+    goal AS (SELECT model_id, avg((ell > 0)::INT) AS acc, avg(1 / (1 + exp(-abs(ell)))) - avg((ell > 0)::INT) AS over FROM tobs GROUP BY 1),
+    part AS (SELECT * FROM src JOIN goal USING (model_id)),
+    numbered AS (SELECT org_id, row_number() OVER (ORDER BY org_id) - 1 AS g, count(*) OVER () AS n FROM (SELECT DISTINCT org_id FROM part)),
+    deals AS ({{deals}}),
+    taking AS (SELECT part.*, fold FROM part JOIN numbered USING (org_id) JOIN deals USING (g, n)),
+    tm AS (SELECT fold, item_id, avg(ell) AS m FROM tobs JOIN taking USING (model_id) GROUP BY ALL HAVING count(*) >= 5),
+    tp AS (SELECT fold, item_id, (avg(m) OVER (PARTITION BY fold) - m) / stddev_pop(m) OVER (PARTITION BY fold) AS b FROM tm),
+    tl AS (SELECT model_id, -covar_pop(ell, b) / var_pop(b) AS st FROM tobs JOIN taking USING (model_id) JOIN tp USING (fold, item_id) GROUP BY ALL),
+    scale AS (SELECT 1 - fold AS fold, exp(avg(CASE WHEN st > 0 THEN ln(st) - ln(s) END)) AS c, median(s) AS med FROM taking LEFT JOIN tl USING (model_id) GROUP BY fold),
+    bs AS (SELECT 1 - fold AS fold, list(b ORDER BY b) AS bs FROM tp GROUP BY fold),
+    rows_ AS (SELECT model_id, org_id, fold, acc, over, theta, v AS variant, CASE v WHEN 'rescale' THEN c * s WHEN 'median' THEN c * med ELSE s END AS s, bs FROM taking JOIN scale USING (fold) JOIN bs USING (fold), (SELECT unnest(['rescale', 'median', 'literal']) AS v)),
+    halving AS (SELECT model_id, variant, 0 AS k, -60.0::DOUBLE AS low, 60.0::DOUBLE AS high FROM rows_ UNION ALL
+        SELECT model_id, variant, k + 1, CASE WHEN under THEN (low + high) / 2 ELSE low END, CASE WHEN under THEN high ELSE (low + high) / 2 END FROM (
+            SELECT h.*, list_avg(list_transform(bs, lambda b: 1 / (1 + exp(-s * ((low + high) / 2 - b))))) < acc AS under FROM halving h JOIN rows_ USING (model_id, variant) WHERE k < 64)),
+    there AS (SELECT model_id, variant, (low + high) / 2 AS t FROM halving WHERE k = 64),
+    nodes AS (SELECT list(ln((i + 0.5::DOUBLE) / 64 / (1 - (i + 0.5::DOUBLE) / 64)) ORDER BY i) AS e FROM range(64) t(i)),
+    told AS (SELECT model_id, org_id, fold, variant, acc, over, list_avg(list_transform(bs, lambda b: 1 / (1 + exp(-s * (theta - b))))) AS pred_acc,
+        list_avg(list_transform(bs, lambda b: list_avg(list_transform(e, lambda x: 1 / (1 + exp(-abs(s * (t - b) + x))))))) - acc AS pred_over FROM rows_ JOIN there USING (model_id, variant), nodes)"""
+TRANSFER = TRANSFER.format(deals=" UNION ALL ".join(f"SELECT *, {n} AS n FROM (VALUES {_dealt(n)}) t(g, fold)" for n in range(1, 26)))
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("transfer_predictions", _recursive(with_obs(f"SELECT {sql_shown('model_id, org_id, fold, variant', 'acc; over; pred_acc; pred_over', 6)} FROM told", TRANSFER)))
+def transfer_predictions(spark, sf):
+    """Accuracy and overconfidence on the second benchmark from the other fold's items, for three slopes."""
+    return shown(_transferred(spark, sf, False), 6)
+
+
+@query("transfer_r2", _recursive(with_obs(f"SELECT {sql_shown('variant, count(*) AS n', '1 - avg(pow(acc - pred_acc, 2)) / var_pop(acc) AS r2_acc; 1 - avg(pow(over - pred_over, 2)) / var_pop(over) AS r2_over', 5)} FROM told GROUP BY variant", TRANSFER)))
+def transfer_r2(spark, sf):
+    return shown(transfer.r2(_transferred(spark, sf, False), ["variant"]), 5)
+
+
+@query("transfer_intervals")
+def transfer_intervals(spark, sf):
+    """Intervals of the same, on fitted positions."""
+    return shown(transfer.r2_intervals(structure.checkpointed(_transferred(spark, sf, True))), 6)
+
+
+@query("cached_directions", with_obs(f"SELECT {sql_shown('ref_key, direction::INT AS direction, item_id, 0 AS fitted_again', 'b', 7)} FROM pos0 JOIN (SELECT context, sha256(string_agg(org_id, chr(10) ORDER BY org_id)) AS ref_key FROM ref GROUP BY 1) USING (context) WHERE context IN ('o0/scored', 'o1/scored', 'o2/scored', 'o3/scored', 'o4/scored')", POSITIONS))
+def cached_directions(spark, sf):
+    """Directions of the five outer sets as the second call finds them in the store, and how many sets that call fitted."""
+    import uuid
+
+    obs, contexts, _ = _population(spark, sf)
+    members = structure.checkpointed(contexts.where("inner IS NULL AND part = 'scored' AND role = 'reference'").select("ref_key", "org_id"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/directions-{uuid.uuid4().hex}"  # set by the first checkpoint above
+    crossfit.cached_positions(obs, members, path, crossfit.start_positions)
+    again, fitted = crossfit.cached_positions(obs, members, path, crossfit.start_positions)
+    return shown(again.withColumn("fitted_again", F.lit(fitted)), 7)
+
+
+@query("canonical_digest", """WITH t AS (SELECT *, concat_ws(chr(31), 'N' || c_custkey::DOUBLE::VARCHAR, 'N' || c_acctbal::DOUBLE::VARCHAR) AS r FROM customer),
+    a AS (SELECT r, row_number() OVER (ORDER BY c_custkey, r) - 1 AS p FROM t), b AS (SELECT p // 1000 AS p, sha256(string_agg(r, chr(10) ORDER BY p)) AS r FROM a GROUP BY p // 1000),
+    c AS (SELECT p // 1000 AS p, sha256(string_agg(r, chr(10) ORDER BY p)) AS r FROM b GROUP BY p // 1000), last AS (SELECT CASE WHEN (SELECT count(*) FROM b) > 1 THEN (SELECT max(r) FROM c) ELSE (SELECT max(r) FROM b) END AS r)
+    SELECT (SELECT count(*) FROM customer) AS n, 'Sc_custkey' || chr(31) || 'Sc_acctbal' AS header, sha256('Sc_custkey' || chr(31) || 'Sc_acctbal' || chr(10) || r) AS digest FROM last""")
+def canonical_digest(spark, sf):
+    return identity.canonical_digest(adapters.table(spark, sf, "customer"), ["c_custkey"], ["c_custkey", "c_acctbal"])
+
+
+@query("column_records", """SELECT 'l_quantity' AS "column", count(*) AS n, count(*) FILTER (l_quantity IS NULL) AS nulls, 0::BIGINT AS nan, 0::BIGINT AS posinf, 0::BIGINT AS neginf, min(l_quantity)::DOUBLE AS least, max(l_quantity)::DOUBLE AS most FROM lineitem
+    UNION ALL SELECT 'l_tax', count(*), count(*) FILTER (l_tax IS NULL), 0, 0, 0, min(l_tax)::DOUBLE, max(l_tax)::DOUBLE FROM lineitem""")
+def column_records(spark, sf):
+    return identity.column_records(adapters.table(spark, sf, "lineitem"), ["l_quantity", "l_tax"])
+
+
+BROKEN = """cohort AS (SELECT DISTINCT model_id, org_id FROM obs), due AS (SELECT base, model_id, org_id, CASE part WHEN 'scored' THEN 'scored' ELSE 'reference' END AS role FROM cf JOIN cohort USING (org_id) WHERE role = 'scored')"""
+
+
+@query("contract_check", with_obs("""SELECT 'ROW_MISSING' AS invariant, count(*) AS violations FROM due WHERE model_id::INT % 10 = 3
+    UNION ALL SELECT 'NEVER_EVALUATED', count(DISTINCT model_id) FROM due WHERE model_id::INT % 10 = 3
+    UNION ALL SELECT 'ROW_NOT_DUE', count(*) FROM due WHERE model_id::INT % 10 = 4
+    UNION ALL SELECT 'ROW_LISTED_TWICE', count(*) FROM due WHERE model_id::INT % 10 = 4""", CF, BROKEN))
+def contract_check(spark, sf):
+    """What the contract says of a cohort whose rows for one model in ten are left out, and for another are listed in both roles."""
+    obs = structure.checkpointed(items.valid_observations(adapters.responses_from_lineitem(spark, sf)).select("model_id", "org_id").distinct())
+    contexts = structure.checkpointed(crossfit.crossfit_contexts(obs))
+    asked = contexts.where("role = 'scored'").select("base", "org_id", F.when(F.col("part") == "scored", "scored").otherwise("reference").alias("role"))
+    listed = asked.join(obs, "org_id").where("CAST(model_id AS INT) % 10 <> 3")
+    twice = listed.where("CAST(model_id AS INT) % 10 = 4").withColumn("role", F.when(F.col("role") == "scored", "reference").otherwise("scored"))
+    checked = identity.contract(contexts, obs, structure.folds(obs, 5), listed.unionByName(twice), n_contexts=None)
+    return checked.where("invariant IN ('ROW_MISSING', 'NEVER_EVALUATED', 'ROW_NOT_DUE', 'ROW_LISTED_TWICE') OR violations > 0 AND invariant NOT IN ('EVALUATED_TWICE', 'OUTER_FOLD_COUNT', 'INNER_FOLD_COUNT', 'BASE_CONTEXT_COUNT')")
