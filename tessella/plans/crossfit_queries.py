@@ -110,16 +110,17 @@ CHOICE = TARGET + """, goal AS (SELECT model_id, avg(e) FILTER (rn <= (n + 1) //
         JOIN (SELECT model_id, avg(y::INT) AS acc FROM obs GROUP BY 1) USING (model_id) JOIN goal USING (model_id) LEFT JOIN cm USING (context, model_id)),
     long AS (SELECT base, part, model_id, org_id, y_sel AS y, 'B0' AS package, acc AS x FROM feat UNION ALL SELECT base, part, model_id, org_id, y_sel, 'P_c1', c1 FROM feat),
     med AS (SELECT base, package, median(x) AS med FROM long WHERE part = 'train' GROUP BY ALL),
-    filled AS (SELECT base, part, model_id, org_id, y, package, coalesce(x, med) AS x FROM long JOIN med USING (base, package)),
+    filled AS (SELECT base, part, model_id, org_id, y, package, coalesce(x, med, 0.0::DOUBLE) AS x FROM long JOIN med USING (base, package)),
     orgs AS (SELECT base, package, org_id, count(*) AS k FROM filled WHERE part = 'train' GROUP BY ALL),
     v AS (SELECT base, package, org_id, 1.0::DOUBLE / (k * count(*) OVER (PARTITION BY base, package)) AS v FROM orgs),
     mom AS (SELECT base, package, sum(v * x) AS mx, sum(v * y) AS my, sum(v * x * x) - sum(v * x) * sum(v * x) AS vx, sum(v * x * y) - sum(v * x) * sum(v * y) AS cxy FROM filled JOIN v USING (base, package, org_id) WHERE part = 'train' GROUP BY ALL),
-    told AS (SELECT substr(base, 2, 1)::INT AS fold, base LIKE '%i%' AS inside, model_id, org_id, y, package, lam, greatest(0.0::DOUBLE, least(1.0::DOUBLE, my + cxy / (vx * (1 + lam)) * (x - mx))) AS pred
+    told AS (SELECT substr(base, 2, 1)::INT AS fold, base LIKE '%i%' AS inside, model_id, org_id, y, package, lam, greatest(0.0::DOUBLE, least(1.0::DOUBLE, my + CASE WHEN sqrt(greatest(vx, 0.0::DOUBLE)) > 1e-12 THEN cxy / (vx * (1 + lam)) * (x - mx) ELSE 0.0::DOUBLE END)) AS pred
         FROM filled JOIN mom USING (base, package), (SELECT unnest([1e-4::DOUBLE, 1e-3, 1e-2, 1e-1, 1, 10, 100, 1000, 10000]) AS lam) WHERE part = 'scored'),
     loss AS (SELECT fold, package, lam, avg(m) AS loss FROM (SELECT fold, package, lam, org_id, avg(pow(y - pred, 2)) AS m FROM told WHERE inside GROUP BY ALL) GROUP BY ALL),
     best AS (SELECT fold, package, arg_max(lam, lam) AS lam, arg_max(loss, lam) AS loss FROM (SELECT *, min(loss) OVER (PARTITION BY fold, package) AS low FROM loss) WHERE loss <= low + 1e-12 GROUP BY ALL),
     final AS (SELECT model_id, org_id, t.fold, package, pred FROM told t JOIN best USING (fold, package, lam) WHERE NOT inside),
-    pick AS (SELECT fold, CASE WHEN max(loss) FILTER (package = 'B0') <= min(loss) + 1e-12 THEN 'B0' ELSE 'P_c1' END AS package FROM best GROUP BY fold)"""
+    there AS (SELECT substr(base, 2, 1)::INT AS fold, min(k) > 0 AS c1_there FROM (SELECT base, count(c1) AS k FROM feat WHERE part = 'train' GROUP BY base) GROUP BY 1),
+    pick AS (SELECT fold, CASE WHEN NOT any_value(c1_there) OR max(loss) FILTER (package = 'B0') <= min(loss) + 1e-12 THEN 'B0' ELSE 'P_c1' END AS package FROM best JOIN there USING (fold) GROUP BY fold)"""
 
 
 @query("nested_selection", with_obs(f"SELECT {sql_shown('model_id, org_id, outer_fold, package', 'pred', 6)} FROM (SELECT model_id, org_id, fold AS outer_fold, package, pred FROM final UNION ALL SELECT model_id, org_id, fold, 'SP', pred FROM final JOIN pick USING (fold, package))", POSITIONS, STRUCTURE, CHOICE))
