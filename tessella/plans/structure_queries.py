@@ -126,23 +126,71 @@ def reference_models(spark, sf):
     return shown(structure.line_fit(_rows(spark, sf), ["half", "model_id"]).select(F.col("half").cast("int").alias("half"), "model_id", "a", "s"))
 
 
+ROUNDS, TIGHT = 24, 1e-10
+
+
+def _rounds(n: int) -> str:
+    """The alternating fit written out: n rounds of lines, positions, scale and sign, from start positions."""
+    out = ["cells AS MATERIALIZED (SELECT half AS direction, model_id, item_id, ell FROM rows)", "b0 AS MATERIALIZED (SELECT half AS direction, item_id, b FROM pos)"]
+    for k in range(1, n + 1):
+        out += [
+            f"l{k} AS MATERIALIZED (SELECT direction, model_id, -covar_pop(ell, b) / var_pop(b) AS s, avg(ell) - covar_pop(ell, b) / var_pop(b) * avg(b) AS a FROM cells JOIN b{k - 1} USING (direction, item_id) GROUP BY ALL)",
+            f"r{k} AS MATERIALIZED (SELECT direction, item_id, sum(s * (a - ell)) / sum(s * s) AS raw FROM cells JOIN l{k} USING (direction, model_id) GROUP BY ALL)",
+            f"z{k} AS MATERIALIZED (SELECT direction, item_id, (raw - avg(raw) OVER w) / stddev_pop(raw) OVER w AS z FROM r{k} WINDOW w AS (PARTITION BY direction))",
+            f"b{k} AS MATERIALIZED (SELECT direction, item_id, z * CASE WHEN sum(z * b) OVER (PARTITION BY direction) < 0 THEN -1 ELSE 1 END AS b FROM z{k} JOIN b0 USING (direction, item_id))",
+        ]
+    return ", ".join(out)
+
+
+FITTED = START + ", " + _rounds(ROUNDS) + f""", fb AS (SELECT * FROM b{ROUNDS} WHERE direction IN (SELECT direction FROM b0 GROUP BY 1 HAVING count(*) >= 100)),
+    fm AS (SELECT direction, model_id, -covar_pop(ell, b) / var_pop(b) AS s, avg(ell) - covar_pop(ell, b) / var_pop(b) * avg(b) AS a FROM cells JOIN fb USING (direction, item_id) GROUP BY ALL),
+    other AS (SELECT direction, item_id, count(*) AS n_ref, sum(s * s) AS denom, sum(s * (a - ell)) / sum(s * s) AS b FROM (SELECT 1 - half AS direction, model_id, item_id, ell FROM obs JOIN halves USING (item_id)) JOIN fm USING (direction, model_id) GROUP BY ALL)"""
+
+
 def _fitted(spark, sf):
+    """Observations with halves, their rows by direction, and the fit of each direction."""
     obs = _obs(spark, sf)
-    halves = descriptors.item_halves(obs)
-    halved = structure.checkpointed(obs.join(halves, "item_id").withColumnRenamed("half", "direction"))
-    return obs, halves, halved, structure.als_reference(halved, ["direction"])
+    halved = structure.checkpointed(obs.join(descriptors.item_halves(obs), "item_id").select("model_id", "item_id", "half", "ell"))
+    rows = halved.withColumnRenamed("half", "direction")
+    return halved, rows, structure.als_reference(rows, ["direction"], tol=TIGHT)
 
 
-@query("als_reference")
+def _final_lines(rows, b):
+    return structure.line_fit(rows.join(b, ["direction", "item_id"]), ["direction", "model_id"]).select("direction", "model_id", "a", "s")
+
+
+@query("als_reference", with_obs(f"SELECT {sql_shown('direction::INT AS direction, item_id', 'b', 6)}, '' AS reason FROM fb", FITTED))
 def als_reference(spark, sf):
-    _, _, _, (b, _, status) = _fitted(spark, sf)
-    return shown(b.join(status, "direction").select("direction", "item_id", "b", "reason"), 6)
+    _, _, (b, _, status) = _fitted(spark, sf)
+    return shown(b.join(status, "direction").select(F.col("direction").cast("int").alias("direction"), "item_id", "b", "reason"), 6)
+
+
+@query("fitted_models", with_obs(f"SELECT {sql_shown('direction::INT AS direction, model_id', 'a; s', 6)} FROM fm", FITTED))
+def fitted_models(spark, sf):
+    """The reference models' lines on the fitted positions."""
+    _, rows, (b, _, _) = _fitted(spark, sf)
+    return shown(_final_lines(rows, b).withColumn("direction", F.col("direction").cast("int")), 6)
+
+
+@query("fitted_items", with_obs(f"SELECT {sql_shown('direction::INT AS direction, item_id, n_ref', 'CASE WHEN n_ref >= 20 THEN b END AS b; denom', 6)} FROM other", FITTED))
+def fitted_items(spark, sf):
+    """The other half's items on those lines, in the fit's gauge."""
+    halved, rows, (b, _, _) = _fitted(spark, sf)
+    other = halved.select((1 - F.col("half")).alias("direction"), "model_id", "item_id", "ell")
+    return shown(structure.project_reference_items(other, _final_lines(rows, b), ["direction"]).withColumn("direction", F.col("direction").cast("int")), 6)
 
 
-@query("d_metrics")
+@query("d_metrics", with_obs(f"""SELECT {sql_shown('model_id', 'CASE WHEN n = 2 THEN d1 END AS d1; CASE WHEN n = 2 THEN d2 END AS d2; CASE WHEN n = 2 THEN d3 END AS d3; CASE WHEN n = 2 THEN d4 END AS d4', 6)}, reason AS d1_reason, reason AS d2_reason, reason AS d3_reason, reason AS d4_reason FROM (
+        SELECT model_id, count(*) AS n, sum(d1) / 2 AS d1, sum(d2) / 2 AS d2, sum(d3) / 2 AS d3, sum(d4) / 2 AS d4, concat_ws(';', CASE WHEN min(direction) > 0 THEN 'H0:MISSING' END, CASE WHEN max(direction) < 1 THEN 'H1:MISSING' END) AS reason FROM (
+            SELECT model_id, direction, sum(pow(least(r, 0), 2)) / sum(r * r) AS d1, kurtosis_pop(r) AS d2, corr(r, b * b) AS d4, corr(x, y) AS d3 FROM (
+                SELECT *, rank() OVER (PARTITION BY model_id, direction ORDER BY abs(r)) + (count(*) OVER (PARTITION BY model_id, direction, abs(r)) - 1) / 2.0::DOUBLE AS x,
+                    rank() OVER (PARTITION BY model_id, direction ORDER BY b) + (count(*) OVER (PARTITION BY model_id, direction, b) - 1) / 2.0::DOUBLE AS y FROM (
+                    SELECT model_id, direction, o.b, ell - (a - s * o.b) AS r, count(*) OVER (PARTITION BY model_id, direction) AS n FROM (SELECT 1 - half AS direction, model_id, item_id, ell FROM obs JOIN halves USING (item_id)) JOIN fm USING (direction, model_id) JOIN (SELECT * FROM other WHERE n_ref >= 20) o USING (direction, item_id)) WHERE n >= 100) GROUP BY ALL) GROUP BY model_id)""", FITTED))
 def d_metrics(spark, sf):
     """Fit on each half, project the other half's items into that fit's gauge, then judge both directions."""
-    obs, halves, halved, (b, models, _) = _fitted(spark, sf)
-    other = obs.join(halves, "item_id").withColumn("direction", 1 - F.col("half")).select("direction", "model_id", "item_id", "ell")
-    projected = structure.project_reference_items(other, models, ["direction"]).select("direction", "item_id", "b")
-    return shown(structure.d_metrics(obs, halves, b.unionByName(projected), ["model_id"]), 6)
+    halved, rows, (b, _, _) = _fitted(spark, sf)
+    other = halved.select((1 - F.col("half")).alias("direction"), "model_id", "item_id", "ell")
+    projected = structure.project_reference_items(other, _final_lines(rows, b), ["direction"]).select("direction", "item_id", "b")
+    positions = structure.checkpointed(b.select("direction", "item_id", "b").unionByName(projected))
+    halves = halved.select("item_id", "half").distinct()
+    return shown(structure.d_metrics(halved.drop("half"), halves, positions, ["model_id"]), 6)
