@@ -188,12 +188,12 @@ def damage(chats: DataFrame) -> DataFrame:
 
 def _marked(rows: DataFrame) -> DataFrame:
     """Distinct rows with their number, whether they are blank or cut off, and whether an earlier turn has said the same."""
-    once = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").cast("long").alias("copies"))
     last = F.right(F.rtrim("text", F.lit(SPACES)), F.lit(1))
-    once = once.select("*", (last == "").alias("blank"), (~last.isin(".", "!", "?")).alias("cut"))
-    once = once.withColumn("said", F.unhex(F.sha2(F.concat_ws(":", F.char_length("role"), "role", "text"), 256)))
-    said = once.where("copies > 0 AND NOT blank").groupBy(F.col("conv_id").alias("_c"), F.col("said").alias("_s"))
-    said = said.agg(F.min(F.struct("turn")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    name = F.unhex(F.sha2(F.concat_ws(":", F.char_length("role"), "role", "text"), 256))  # texts are shuffled once to be counted and once to be put in order, not for this
+    said = rows.where("copies > 0").where(last != "").groupBy(F.col("conv_id").alias("_c"), name.alias("_s")).agg(F.min(F.struct("turn")).alias("_first"), F.max(F.struct("turn")).alias("_last"))
+    said = said.where(~F.col("_first")["turn"].eqNullSafe(F.col("_last")["turn"])).drop("_last")
+    once = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").cast("long").alias("copies"))
+    once = once.select("*", (last == "").alias("blank"), (~last.isin(".", "!", "?")).alias("cut"), name.alias("said"))
     on = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("said") == F.col("_s"))  # texts are not shuffled for this
     again = F.col("_first").isNotNull() & ~F.col("turn").eqNullSafe(F.col("_first")["turn"])
     return once.join(said, on, "left").select("conv_id", "turn", "role", "text", "copies", "blank", "cut", again.alias("again"))
