@@ -3,7 +3,8 @@
 A base context (an outer fold, or an inner fold inside one) has training organisations and scored ones.
 Scored models are described against all training organisations. Training models are described against
 the training organisations outside their own of ``aux`` folds, so that no model's own organisation is
-in the reference set it is held against. Sets that are equal share one ``ref_key`` and are fitted once.
+in the reference set it is held against. Folds inside an outer training set are the inner ones, so these
+sets come up twice; sets that are equal share one ``ref_key`` and are fitted once.
 
 Observations are summed per item and organisation before they meet the reference sets; what depends on
 the lines of reference models is one join of observations with positions, summed map-side by set.
@@ -33,7 +34,7 @@ def crossfit_contexts(orgs: DataFrame, outer: int = 5, inner: int = 4, aux: int
     """
     base = structure.contexts(orgs, outer, inner).select(F.col("context").alias("base"), "outer", "inner", "org_id", "role")
     scored = base.withColumn("context", F.concat("base", F.lit("/scored"))).withColumn("part", F.lit("scored"))
-    order = Window.partitionBy("base").orderBy(F.sha2(F.concat(F.lit("20260914|aux|"), "org_id"), 256), "org_id")
+    order = Window.partitionBy("base").orderBy(F.sha2(F.concat(F.lit("20260914|inner|"), "org_id"), 256), "org_id")
     train = base.where("role = 'reference'").withColumn("_f", ((F.row_number().over(order) - 1) % aux).cast("int"))
     train = train.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(aux - 1)))).withColumn("role", F.when(F.col("_f") == F.col("_k"), "scored").otherwise("reference"))
     train = train.withColumn("context", F.concat("base", F.lit("/aux"), "_k")).withColumn("part", F.lit("train")).drop("_f", "_k")

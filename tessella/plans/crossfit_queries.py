@@ -31,7 +31,7 @@ def _population(spark, sf):
     return obs, contexts, structure.checkpointed(contexts.where("role = 'reference'").select("ref_key", "org_id").distinct())
 
 
-CF = NESTED + """, aux_folds AS (SELECT context AS base, org_id, (row_number() OVER (PARTITION BY context ORDER BY sha256('20260914|aux|' || org_id), org_id) - 1) % 4 AS f FROM all_members WHERE role = 'reference'),
+CF = NESTED + """, aux_folds AS (SELECT context AS base, org_id, (row_number() OVER (PARTITION BY context ORDER BY sha256('20260914|inner|' || org_id), org_id) - 1) % 4 AS f FROM all_members WHERE role = 'reference'),
     cf AS (SELECT context || '/scored' AS context, context AS base, 'scored' AS part, org_id, role FROM all_members
         UNION ALL SELECT base || '/aux' || j, base, 'train', org_id, CASE WHEN f = j THEN 'scored' ELSE 'reference' END FROM aux_folds, range(4) t(j))"""
 
