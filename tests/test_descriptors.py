@@ -24,11 +24,37 @@ def logs(*p):
 
 
 def test_all_metrics_of_four_items(spark):
-    obs = observed(spark, [("b", logs(0.9, 0.1), 0), ("a", logs(0.9, 0.1), 1), ("d", logs(0.6, 0.4), 0), ("c", logs(0.6, 0.4), 1)])
-    r = d.ab_metrics(obs).first()
-    want = dict(a1=0.5, a2=2 / 3, a3=0, a4=1, a5=1, b1=-math.log(0.9 * 0.1 * 0.6 * 0.4) / 4, b2=0.375, b3=0.2925, b4=(math.log(9) + math.log(1.5)) / 4, b5=math.log(9), b6=0.5, b7=0)
-    for k, v in want.items():
-        assert r[k] == pytest.approx(v, abs=1e-12), k
+    """Fixed values of the published example: two items at confidence 0.9 (b right, a wrong), two at 0.6 (d right, c wrong)."""
+    r = d.ab_metrics(observed(spark, [("b", logs(0.9, 0.1), 0), ("a", logs(0.9, 0.1), 1), ("d", logs(0.6, 0.4), 0), ("c", logs(0.6, 0.4), 1)])).first()
+    gaps = [math.log(0.9 / 0.1), math.log(0.6 / 0.4)]  # of the two wrong items
+    expected = {
+        "a1": 0.5,  # confidence does not tell right from wrong
+        "a2": (1 + 1 / 2 + 2 / 3 + 1 / 2) / 4,  # running error of a, b, c, d: equal confidence goes by name
+        "a3": 0,  # both bins are half right
+        "a4": 1, "a5": 1,  # the first of four is wrong
+        "b1": -sum(map(math.log, (0.9, 0.1, 0.6, 0.4))) / 4,
+        "b2": (0.9 + 0.6) / 4, "b3": (0.9**2 + 0.6**2) / 4,
+        "b4": sum(gaps) / 4, "b5": max(gaps),
+        "b6": 1 / 2,  # of two options the other one comes first when wrong
+        "b7": 0,  # one option is left besides the winner
+    }
+    assert {k: r[k] for k in expected} == pytest.approx(expected, abs=1e-12)
+
+
+def test_metrics_of_uneven_items(spark):
+    """Five items of three options, against sums written out row by row."""
+    scores = [([2.0, 0.0, 1.0], 0), ([0.0, 3.0, 0.0], 1), ([1.0, 1.5, 0.0], 0), ([0.2, 0.1, 0.0], 2), ([0.0, 0.0, 4.0], 0)]
+    r = d.ab_metrics(observed(spark, [(f"i{k}", s, g) for k, (s, g) in enumerate(scores)])).first()
+    rows = []
+    for k, (s, g) in enumerate(scores):
+        whole = sum(map(math.exp, s))
+        rows.append((-max(map(math.exp, s)) / whole, f"i{k}", float(s.index(max(s)) != g), max(s) - s[g], math.log(whole) - s[g]))
+    rows.sort()
+    wrong = [e for _, _, e, _, _ in rows]
+    assert r["a2"] == pytest.approx(sum(sum(wrong[: k + 1]) / (k + 1) for k in range(5)) / 5)
+    assert (r["a4"], r["a5"]) == pytest.approx((wrong[0], sum(wrong[:2]) / 2))
+    assert (r["b1"], r["b4"], r["b5"]) == pytest.approx((sum(x[4] for x in rows) / 5, sum(x[3] for x in rows) / 5, max(x[3] for x in rows)))
+    assert (r["b2"], r["b3"]) == pytest.approx((sum(-c * e for c, _, e, _, _ in rows) / 5, sum(c * c * e for c, _, e, _, _ in rows) / 5))
 
 
 @pytest.mark.parametrize("scores,gold,a1", [([[2, 0], [1, 0]], [0, 1], 1.0), ([[1, 0], [2, 0]], [0, 1], 0.0), ([[2, 0], [1, 0]], [0, 0], None)])
