@@ -483,5 +483,6 @@ def test_query_digests(spark, sf_dir):
     base = {r["doc_id"]: ",".join(f"{k}:{s}:{e}" for k, s, e in plain_spans(r["text"])) for r in rows}
     got = queries.op4_pii(spark, sf_dir).collect()
     assert {r["doc_id"]: r["base_sha256"] for r in got} == {i: hashlib.sha256(b.encode()).hexdigest() for i, b in base.items()}
-    assert all(r["n_ip"] == base[r["doc_id"]].count("ip:") for r in got)
-    assert got
+    for kind in pii.KINDS:
+        assert all(r[f"n_{kind}"] == base[r["doc_id"]].count(f"{kind}:") for r in got)
+    assert len(got) == len(rows) and all(set(filter(None, base[r["doc_id"]].split(","))) <= set(r["spans"].split(",")) for r in got)
