@@ -146,12 +146,15 @@ def item_cover(spark, sf):
     return r.covered_items(_obs(spark, sf).select("model_id", "item_id"), 0.8).groupBy("item_id").agg(F.countDistinct("model_id").alias("k"))
 
 
-@query("item_sets", f"WITH {responses()},\n{TARGET},\na AS (SELECT DISTINCT item_id FROM resp WHERE model_id::INT % 20 = 3), b AS (SELECT DISTINCT item_id FROM tobs WHERE model_id::INT % 20 = 3) SELECT (SELECT count(*) FROM (FROM a UNION FROM b)) AS n_union, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS n_both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS n_left_only, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS n_right_only")
+@query("item_sets", f"""WITH {responses()},\n{TARGET},\na AS (SELECT DISTINCT model_id, item_id FROM resp), b AS (SELECT DISTINCT model_id, item_id FROM tobs)
+    SELECT model_id, count(*) AS n_union, count(*) FILTER (x AND y) AS n_both, count(*) FILTER (x AND y IS NULL) AS n_left_only, count(*) FILTER (x IS NULL AND y) AS n_right_only
+    FROM (SELECT *, true AS x FROM a) FULL JOIN (SELECT *, true AS y FROM b) USING (model_id, item_id) GROUP BY model_id""")
 def item_sets(spark, sf):
-    mine = lambda rows: rows.where(F.col("model_id").cast("int") % 20 == 3).select("item_id").distinct()
-    a, b = mine(adapters.responses_from_lineitem(spark, sf)), mine(_obs(spark, sf, True))
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(a.union(b).distinct(), "n_union").join(n(a.intersect(b), "n_both")).join(r.same_set(a, b, "item_id").drop("equal"))
+    """Of every model, how many items either benchmark has, both have, or one alone."""
+    a, b = (rows.select("model_id", "item_id").distinct() for rows in (adapters.responses_from_lineitem(spark, sf), _obs(spark, sf, True)))
+    sets = {"n_union": a.union(b).distinct(), "n_both": a.intersect(b), "n_left_only": a.subtract(b), "n_right_only": b.subtract(a)}
+    marked = structure.union_all([s.select("model_id", F.lit(name).alias("name")) for name, s in sets.items()])
+    return marked.groupBy("model_id").agg(*[F.count_if(F.col("name") == name).alias(name) for name in sets])
 
 
 @query("fold_union", with_obs("SELECT fold, count(*) AS n FROM (SELECT 'o' || k AS context, k AS fold, org_id FROM members WHERE role = 'scored') GROUP BY fold", MEMBERS))

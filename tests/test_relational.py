@@ -36,3 +36,18 @@ def test_headline_of_an_empty_table(spark):
     halves = spark.createDataFrame([], "item_id string, half int")
     row = report.headline(obs, halves, ["c"]).first()
     assert (row["n_models"], row["n_items"], row["n_first"], row["c_min"]) == (0, 0, 0, None)
+
+
+def test_key_sets(spark):
+    sets = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    for a, b, want in ((("a", "a", "b"), ("b", "c"), (1, 1, False)), (("a", "b"), ("b", "a", "a"), (0, 0, True)), ((), ("x",), (0, 1, False))):
+        row = r.same_set(sets(*a), sets(*b), "id").first()
+        assert (row["n_left_only"], row["n_right_only"], row["equal"]) == want
+
+
+def test_differences_of_infinite_cells(spark):
+    """Infinities equal themselves alone, at any tolerance; NaN equals NaN, null equals null."""
+    inf, nan = float("inf"), float("nan")
+    a = spark.createDataFrame(list(enumerate([inf, -inf, inf, inf, nan, None, 1.0, nan])), "k int, v double")
+    b = spark.createDataFrame(list(enumerate([inf, -inf, -inf, 5.0, nan, None, 1.5, 0.0])), "k int, v double")
+    assert sorted(x["k"] for x in r.difference(a, b, ["k"], ["v"], atol=0.75).collect()) == [2, 3, 7]
