@@ -117,6 +117,32 @@ def _escaped_sql(x: str) -> str:
 
 
 ORACLE_SQL = {
+    "op12_repair": r"""
+        WITH RECURSIVE k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key, dense_rank() OVER (ORDER BY conv_id) AS cid FROM conversations),
+        f AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(key) + 1), lambda i: ord(substr(key, i::INT, 1))::BIGINT)),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS f FROM k),
+        d AS (SELECT cid, turn, CASE f WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+            unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+        m AS (SELECT *, left(role, 1) AS letter, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+            regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut, row_number() OVER w - 1 AS pos, lag(role) OVER w AS before
+            FROM d WINDOW w AS (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text, copy)),
+        r AS MATERIALIZED (SELECT *, blank OR again AS must, (cut AND NOT blank AND NOT again)::INT AS late FROM m),
+        ins AS (SELECT * FROM (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']),
+            (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])) t(s, s1, c1, a1, t1)),
+        edit AS (SELECT * FROM (VALUES (0, 'D', NULL, 0, 3, NULL), (1, 'D', NULL, 1, 3, NULL), (2, 'D', NULL, 2, 3, NULL), (3, 'D', NULL, 3, 3, NULL), (0, 'K', 's', 1, 0, NULL), (0, 'K', 'u', 2, 0, NULL), (1, 'K', 'u', 2, 0, NULL), (2, 'K', 'a', 3, 0, NULL), (3, 'K', 'u', 2, 0, NULL),
+            (0, 'R', NULL, 2, 2, 'user'), (1, 'R', NULL, 2, 2, 'user'), (2, 'R', NULL, 3, 2, 'assistant'), (3, 'R', NULL, 2, 2, 'user')) t(s1, e, letter, s2, c2, becomes)),
+        go AS (SELECT cid, 0::BIGINT AS pos, 0 AS s, {'cost': 0::BIGINT, 'audit': '', 'told': []::VARCHAR[]} AS b FROM (SELECT DISTINCT cid FROM r) UNION ALL
+            SELECT cid, pos + 1, s2, min(b) FROM (
+                SELECT g.cid, g.pos, s2, {'cost': g.b.cost + c1 + c2 + CASE WHEN e = 'D' THEN 0 ELSE late END, 'audit': g.b.audit || a1 || e,
+                    'told': list_concat(list_concat(g.b.told, t1), CASE WHEN e = 'D' THEN []::VARCHAR[] ELSE [coalesce(becomes, role) || ':' || text] END)} AS b
+                FROM go g JOIN r ON r.cid = g.cid AND r.pos = g.pos JOIN ins ON ins.s = g.s JOIN edit ON edit.s1 = ins.s1 AND (e = 'D' OR NOT must) AND (edit.letter IS NULL OR edit.letter = r.letter))
+            GROUP BY ALL),
+        n AS (SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, sum(late)::BIGINT AS truncated,
+            count(*) FILTER (before IS NOT NULL AND left(before, 1) || letter NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY cid),
+        last AS (SELECT cid, min({'cost': b.cost + c, 'audit': b.audit || a, 'told': list_concat(b.told, t)}) AS b FROM go JOIN n USING (cid) JOIN (VALUES (0, 0, '', []::VARCHAR[]), (3, 0, '', []), (2, 2, 'I', ['assistant:']), (1, 4, 'II', ['user:', 'assistant:'])) e(s, c, a, t) USING (s) WHERE pos = n GROUP BY cid)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.told, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT cid, conv_id FROM k) LEFT JOIN n USING (cid) LEFT JOIN last USING (cid)""",
     "op2_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         d AS (SELECT *, sha1(h) AS hex, max(page_id) OVER (PARTITION BY h) AS head FROM p)
