@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessella.plans.descriptor_queries import shown, sql_shown
-from tessella.sources import files
+from tessella.sources import archives, files
 from tessella.sources.adapters import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -68,3 +68,26 @@ def drifting_schemas(spark, sf):
     rows.where("id % 2 = 0").write.parquet(wide)
     rows.where("id % 2 = 1").drop("region").write.parquet(narrow)
     return files.read_drifting(spark, [wide, narrow]).withColumn("region", F.coalesce("region", F.lit(-1)))
+
+
+def _archives(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("double").alias("vec_id"), F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    path = _path(spark, "npz")
+    archives.write(rows, path, {"kind": "vectors"}, block=500)
+    return path
+
+
+@query("archive_scan", f"SELECT {sql_shown('vec_id::BIGINT AS vec_id, len(embedding)::BIGINT AS dims', 'label::DOUBLE AS label; list_sum(embedding::DOUBLE[]) AS total; list_max(embedding::DOUBLE[]) AS top', 6)} FROM embeddings")
+def archive_scan(spark, sf):
+    """All vectors written as archives and read back by member, rows of one archive put together by place."""
+    rows = archives.scan(spark, _archives(spark, sf), ["vec_id", "label", "embedding"])
+    at = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
+    back = rows.groupBy("path", "row").agg(at("vec_id")[0].cast("long").alias("vec_id"), at("label")[0].alias("label"), at("embedding").alias("v"))
+    return shown(back.select("vec_id", F.size("v").cast("long").alias("dims"), "label", F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max("v").alias("top")), 6)
+
+
+@query("archive_headers", "SELECT name, 1 + (name = 'embedding')::INT AS axes, CASE WHEN name = 'embedding' THEN max(len(embedding)) ELSE 1 END::BIGINT AS width, count(*) AS n FROM embeddings, (SELECT unnest(['vec_id', 'label', 'embedding']) AS name) GROUP BY 1")
+def archive_headers(spark, sf):
+    """Sizes of all arrays from their headers alone."""
+    rows = archives.headers(spark, _archives(spark, sf)).where("scalar IS NULL")
+    return rows.groupBy("name", F.size("shape").alias("axes"), F.coalesce(F.get("shape", F.lit(1)), F.lit(1)).alias("width")).agg(F.sum(F.get("shape", F.lit(0))).alias("n"))
