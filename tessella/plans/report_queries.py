@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import arrays
-from tessella.operators import boosting, features, inference, items, latent, report, structure
+from tessella.operators import alternating, boosting, features, inference, items, latent, report, structure
 from tessella.plans.descriptor_queries import shown, sql_shown
 from tessella.plans.fixture_sql import with_obs
 from tessella.plans.model_queries import _matrix, _nested, _table
@@ -121,3 +121,21 @@ def beta_channel(spark, sf):
     cell = _matrix(spark, sf).select("model_id", "item_id", F.lit(None).cast("double").alias("c"), F.col("resp").alias("y"), "tok_len")
     models, _, _ = latent.fit_joint(cell, epochs=15)
     return shown(spark.createDataFrame(models).select("model_id", "theta_A", "theta_C"), 6)
+
+
+def _alternating(spark, sf, channel: str, kind: str):
+    models, _, history = alternating.fit(_matrix(spark, sf).select("model_id", "item_id", F.col(channel).alias("y")), kind)
+    schema = "model_id string, theta double, first_loss double, last_loss double"
+    return shown(spark.createDataFrame(models.assign(first_loss=history[0] if history else None, last_loss=history[-1] if history else None), schema), 6)
+
+
+@query("alternating_binary")
+def alternating_binary(spark, sf):
+    """Traits from correctness alone, all 50 epochs of 100 steps a half."""
+    return _alternating(spark, sf, "bin", "binary")
+
+
+@query("alternating_beta")
+def alternating_beta(spark, sf):
+    """Traits from response probabilities alone, all 50 epochs of 100 steps a half."""
+    return _alternating(spark, sf, "resp", "beta")
