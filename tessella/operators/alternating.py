@@ -20,6 +20,7 @@ from tessella.operators.structure import checkpointed
 
 # Fixed values of the analysis.
 EPOCHS, STEPS, LR_MODELS, LR_ITEMS = 50, 100, 0.1, 0.01
+CELLS = 200_000  # cells a task
 DECAY, KEEP_MEAN, KEEP_SQUARE, SMALL = 0.01, 0.9, 0.999, 1e-8
 
 
@@ -76,9 +77,10 @@ def fit(cells: DataFrame, kind: str = "beta", epochs: int = EPOCHS, steps: int =
     spark = cells.sparkSession
     models, items = ([r[0] for r in seen.select(k).distinct().orderBy(k).collect()] for k in ("model_id", "item_id"))
     coded = seen.join(spark.createDataFrame(list(zip(models, range(len(models)))), "model_id string, m int"), "model_id").join(spark.createDataFrame(list(zip(items, range(len(items)))), "item_id string, i int"), "item_id")
-    pack = lambda own, other: checkpointed(coded.groupBy(own).agg(F.sort_array(F.collect_list(F.struct(other, "y"))).alias("_c")).select(F.col(own).alias("own"), F.col(f"_c.{other}").alias("at"), F.col("_c.y").alias("y")))
-    layouts = {"models": pack("m", "i"), "items": pack("i", "m")}
     n_cells, history = max(1, seen.count()), []
+    parts = max(spark.sparkContext.defaultParallelism, n_cells // CELLS)  # adaptive merging would put few cells in one task, which has many steps to do
+    pack = lambda own, other: checkpointed(coded.repartition(parts, own).groupBy(own).agg(F.sort_array(F.collect_list(F.struct(other, "y"))).alias("_c")).select(F.col(own).alias("own"), F.col(f"_c.{other}").alias("at"), F.col("_c.y").alias("y")))
+    layouts = {"models": pack("m", "i"), "items": pack("i", "m")}
     params = dict(zip(("models", "items"), start(len(models), len(items), seed)))
     state = {s: (np.zeros_like(p), np.zeros_like(p)) for s, p in params.items()}
     for epoch in range(epochs if models else 0):
