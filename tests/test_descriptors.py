@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import descriptors as d
 from tessella.operators import items
@@ -133,3 +134,18 @@ def test_risk_at_full_coverage_is_the_error_rate(spark, sf_dir):
     obs = items.valid_observations(responses_from_lineitem(spark, sf_dir))
     for r in d.ranked_risk(obs).join(d.means(obs), "model_id").collect():
         assert r["r100"] == pytest.approx(1 - r["acc"])
+
+
+def test_padded_options_are_no_options(spark):
+    """Three options, the third of them padding, are scored like two."""
+    plain = observed(spark, [("a", [0.3, -0.7], 1)])
+    padded = items.valid_observations(responses(spark, [("a", [0.3, -0.7, None], 1, [1, 1, None])]).withColumn("n_options", F.lit(2)))
+    assert plain.collect() == padded.collect() and None not in plain.first()
+
+
+def test_scores_are_worked_out_once(spark, sf_dir):
+    """Nested array functions repeat what they are given: no plan of observations or cells may hold them."""
+    from tessella.sources.adapters import responses_from_lineitem
+
+    for frame in (items.valid_observations(responses_from_lineitem(spark, sf_dir)), items.cells(responses_from_lineitem(spark, sf_dir))):
+        assert "lambdafunction" not in frame._jdf.queryExecution().executedPlan().toString()
