@@ -14,6 +14,24 @@ def test_slopes_equal_differences():
         assert np.allclose((high - low) / 2e-6, alternating.channel(kind, eta, value)[1], atol=1e-4)
 
 
+@pytest.mark.parametrize("phi", [10.0, 3.7])
+def test_steps_equal_the_channel(phi):
+    rng = np.random.default_rng(3)
+    eta, y = np.concatenate([rng.normal(size=200) * 4, [-800, -20, 20, 800]]), rng.uniform(0, 1, 204)
+    for kind, value in (("beta", y), ("binary", np.round(y))):
+        assert np.allclose(alternating.STEPPERS[kind](value, phi)(eta), alternating.channel(kind, eta, value, phi)[1], rtol=1e-9, atol=1e-11)
+
+
+def test_a_step_costs_less_than_the_channel_with_its_loss():
+    """Losses are read at the last step only, and what depends on y is made once."""
+    import timeit
+
+    rng = np.random.default_rng(5)
+    eta, y = rng.normal(size=8000), rng.uniform(0.01, 0.99, 8000)
+    steps = alternating.STEPPERS["beta"](y, 10.0)
+    assert 2 * min(timeit.repeat(lambda: steps(eta), number=5, repeat=5)) < min(timeit.repeat(lambda: alternating.channel("beta", eta, y), number=5, repeat=5))
+
+
 def dense(y, kind, epochs, steps, seed=0):
     """The same model on a whole matrix: one gradient a step for all traits, then for all items."""
     there = np.isfinite(y)
