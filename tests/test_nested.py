@@ -148,3 +148,23 @@ def test_fitted_positions_follow_the_lines(spark):
     assert len(both) == 2 * 2 * 60
     for _, part in both.groupby(["ref_key", "direction"]):
         assert abs(np.corrcoef(part["b"], b[part["item_id"].str[1:].astype(int)])[0, 1]) > 1 - 1e-9
+
+
+def test_cells_are_not_copied_per_context(spark, sf_dir):
+    """Metrics of all contexts come from one row per model: no join copies cells by context, set or direction."""
+    from tessella.operators import context_sums, crossfit, structure
+    from tessella.plans.crossfit_queries import _population
+
+    obs, contexts, members = _population(spark, sf_dir)
+    positions = structure.checkpointed(crossfit.start_positions(obs, members))
+    cells = context_sums.packed(obs, context_sums.Numbers(obs, members))
+    assert cells.count() == obs.select("model_id").distinct().count()
+    for frame in (crossfit.with_other_half(obs, members, positions, cells=cells), crossfit.context_metrics(obs, contexts, positions, cells=cells)):
+        assert "Join" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_put_ties_at_their_mean():
+    from tessella.operators import context_sums
+
+    v, mask = np.array([[3.0, 1.0, 3.0, 9.0, 2.0]]), np.array([[True, True, True, False, True]])
+    assert context_sums._ranks(v, mask)[0, [0, 1, 2, 4]].tolist() == [3.5, 1.0, 3.5, 2.0]
