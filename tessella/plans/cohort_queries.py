@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import cohort, descriptors, items
+from tessella.operators import cohort, descriptors, items, structure
 from tessella.plans.descriptor_queries import shown, sql_shown
 from tessella.plans.fixture_sql import HALVES, with_obs
 from tessella.sources import adapters
@@ -22,15 +22,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _dimensions(spark, sf):
+    """``model_id, org_id, k, n`` (correct ones, all) and ``item_id`` of the observed table, written once: the rules read them in some twenty branches."""
+    obs = items.valid_observations(adapters.responses_from_lineitem(spark, sf))
+    per = obs.groupBy("model_id", "org_id").agg(F.sum(F.col("y").cast("double")).alias("k"), F.count("*").alias("n"), F.collect_set(F.col("item_id").cast("int")).alias("_items"))
+    per = structure.checkpointed(per)  # both from one pass; a model's items are one benchmark's
+    return per.select("model_id", "org_id", "k", "n"), structure.checkpointed(per.select(F.explode("_items").alias("item_id")).distinct().select(F.col("item_id").cast("string").alias("item_id")))
+
+
 def _cohort(spark, sf):
     """The observed table as frozen, and a newer one in which every rule is broken somewhere."""
-    obs = items.valid_observations(adapters.responses_from_lineitem(spark, sf))
+    seen, known = _dimensions(spark, sf)
+    seen = seen.select("model_id", "org_id")
     m, i = F.col("model_id").cast("int"), F.col("item_id").cast("int")
-    seen = obs.select("model_id", "org_id").distinct()
     models = seen.where(m % 10 != 7).withColumn("org_id", F.when(m % 10 == 3, F.concat("org_id", F.lit("x"))).otherwise(F.col("org_id")))
     listed = seen.where(m % 10 != 9).withColumn("place", m).unionByName(seen.where(m % 10 == 4).withColumn("place", -m))
-    listed_items = descriptors.item_halves(obs).withColumn("place", i)
-    kept = obs.select("item_id").distinct().where(i % 50 != 0)
+    listed_items = descriptors.item_halves(known).withColumn("place", i)
+    kept = known.where(i % 50 != 0)
     new = kept.join(descriptors.item_halves(kept), "item_id").withColumn("place", F.when(i % 60 == 1, i - 5).otherwise(i)).withColumn("half", F.when(i % 40 == 2, 1 - F.col("half")).otherwise(F.col("half")))
     policy = listed_items.select("item_id").where((i % 100 == 0) | (i % 100 == 7))
     return models, listed, new, listed_items, policy
@@ -64,12 +72,12 @@ def cohort_summary(spark, sf):
 @query("frozen_rows", with_obs(f"SELECT {sql_shown('model_id, place', 'avg(y::INT) AS acc')} FROM obs JOIN (SELECT DISTINCT model_id, -(model_id::INT) AS place FROM obs WHERE model_id::INT % 10 <> 9) USING (model_id) GROUP BY ALL"))
 def frozen_rows(spark, sf):
     """The same cohort with nothing broken: rows of the frozen models in the frozen order."""
-    obs = items.valid_observations(adapters.responses_from_lineitem(spark, sf))
+    per, known = _dimensions(spark, sf)
     m = F.col("model_id").cast("int")
-    models = obs.select("model_id", "org_id").distinct()
+    models = per.select("model_id", "org_id")
     listed = models.where(m % 10 != 9).withColumn("place", -m)
-    now = descriptors.item_halves(obs).withColumn("place", F.col("item_id").cast("int"))
-    acc = obs.groupBy("model_id").agg(F.avg(F.col("y").cast("double")).alias("acc"))
+    now = descriptors.item_halves(known).withColumn("place", F.col("item_id").cast("int"))
+    acc = per.groupBy("model_id").agg((F.sum("k") / F.sum("n")).alias("acc"))
     return shown(cohort.frozen_rows(acc, listed, cohort.cohort_problems(models, listed, now, now, now.limit(0))))
 
 

@@ -55,3 +55,12 @@ def test_denied_items_are_counted_once(spark):
     rows = spark.createDataFrame([("m1", "a"), ("m1", "b"), ("m2", "b"), (None, "a")], "model_id string, item_id string")
     got = cohort.relabelled(rows, spark.createDataFrame([("a",), ("a",), ("z",)], "item_id string"))
     assert {tuple(r[c] for c in ("model_id", "item_id", "n_before", "n_denied", "n_kept")) for r in got.collect()} == {("m1", "b", 2, 1, 1), ("m2", "b", 1, 0, 1)}
+
+
+@pytest.mark.parametrize("name", ["frozen_rows", "cohort_problems", "cohort_summary"])
+def test_the_rules_read_dimensions_not_responses(spark, sf_dir, name):
+    """The responses are made once, before: no branch of the plan goes back to the lines."""
+    from tessella.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "MapInArrow" not in plan
