@@ -255,9 +255,9 @@ def stage_costs(spark, sf):
     UNION ALL SELECT model_id, 'MISSING_FROM_REQUEST' FROM ok WHERE model_id NOT IN (SELECT model_id FROM req)
     UNION ALL SELECT model_id, 'OUTER_TEST_ORG' FROM req WHERE org_id IN (SELECT org_id FROM members WHERE context = 'o0' AND role = 'scored')""", MEMBERS, "models AS (SELECT DISTINCT model_id, org_id FROM obs), ok AS (SELECT model_id, org_id FROM models JOIN members USING (org_id) WHERE context = 'o0' AND role = 'reference'), req AS (SELECT * FROM models WHERE model_id::INT % 9 <> 0)"))
 def access_rules(spark, sf):
-    obs = _obs(spark, sf)
-    models = obs.select("model_id", "org_id").distinct()
-    members = structure.contexts(obs).where("context = 'o0'").select("org_id", "role")
+    valid = items.valid_observations(adapters.responses_from_lineitem(spark, sf), [])
+    models = structure.checkpointed(valid.select("model_id", "org_id").distinct())  # a row per model; all that follows reads it
+    members = structure.contexts(models).where("context = 'o0'").select("org_id", "role")
     allowed = models.join(members.where("role = 'reference'").select("org_id"), "org_id").select("model_id", "org_id")
     return r.access_violations(models.where(F.col("model_id").cast("int") % 9 != 0), allowed, members.where("role = 'scored'"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import descriptors, items, structure
+from tessella.operators import crossfit, descriptors, items, structure
 from tessella.plans.descriptor_queries import shown, sql_shown
 from tessella.plans.fixture_sql import HALVES, with_obs
 from tessella.sources import adapters
@@ -22,8 +22,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _obs(spark, sf):
-    return items.valid_observations(adapters.responses_from_lineitem(spark, sf))
+def _obs(spark, sf, values=None):
+    return items.valid_observations(adapters.responses_from_lineitem(spark, sf), values)
 
 
 FOLDS = "folds AS (SELECT org_id, (row_number() OVER (ORDER BY sha256('20260914|' || org_id), org_id) - 1) % 5 AS fold FROM (SELECT DISTINCT org_id FROM obs))"
@@ -84,8 +84,7 @@ START = HALVES + """, means AS (SELECT half, item_id, avg(ell) AS m, count(*) AS
 
 
 def _rows(spark, sf):
-    obs = _obs(spark, sf)
-    halved = structure.checkpointed(obs.join(descriptors.item_halves(obs), "item_id").select("model_id", "org_id", "item_id", "half", "ell"))  # every branch reads this table
+    halved = crossfit.halved(_obs(spark, sf, ["ell"]))  # every branch reads this table
     return halved.join(structure.initial_positions(halved, ["half"]), ["half", "item_id"])
 
 
@@ -149,8 +148,7 @@ FITTED = START + ", " + _rounds(ROUNDS) + f""", fb AS (SELECT * FROM b{ROUNDS} W
 
 def _fitted(spark, sf):
     """Observations with halves, their rows by direction, and the fit of each direction."""
-    obs = _obs(spark, sf)
-    halved = structure.checkpointed(obs.join(descriptors.item_halves(obs), "item_id").select("model_id", "item_id", "half", "ell"))
+    halved = crossfit.halved(_obs(spark, sf, ["ell"])).select("model_id", "item_id", "half", "ell")
     rows = halved.withColumnRenamed("half", "direction")
     return halved, rows, structure.als_reference(rows, ["direction"], tol=TIGHT)
 

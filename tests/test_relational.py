@@ -51,3 +51,34 @@ def test_differences_of_infinite_cells(spark):
     a = spark.createDataFrame(list(enumerate([inf, -inf, inf, inf, nan, None, 1.0, nan])), "k int, v double")
     b = spark.createDataFrame(list(enumerate([inf, -inf, -inf, 5.0, nan, None, 1.5, 0.0])), "k int, v double")
     assert sorted(x["k"] for x in r.difference(a, b, ["k"], ["v"], atol=0.75).collect()) == [2, 3, 7]
+
+
+def test_last_rows_are_found_without_a_rank_limit(spark):
+    """Few rows share a key, so a rank limit would only sort them all once more before the shuffle."""
+    from tessella.sources import adapters
+
+    rows = spark.createDataFrame([(1, 5, "b"), (1, 5, "c"), (2, 1, "a"), (1, 4, "z"), (None, 3, "n"), (None, 4, "m")], "k int, o int, v string")
+    last = adapters.last_row_wins(rows, ["k"], ["o", "v"])
+    assert {tuple(r) for r in last.collect()} == {(1, 5, "c"), (2, 1, "a"), (None, 4, "m")}
+    assert {tuple(r) for r in adapters.first_row_wins(rows, ["k"], ["o", "v"]).collect()} == {(1, 4, "z"), (2, 1, "a"), (None, 3, "n")}
+    assert "WindowGroupLimit" not in last._jdf.queryExecution().toString()
+
+
+def test_access_rules_read_responses_once(spark):
+    """What is compared comes from the table of models, which is written once."""
+    import __spark_entry__
+
+    out = __spark_entry__.queries()["access_rules"](spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in out._jdf.queryExecution().toString()
+
+
+def test_observations_carry_what_is_asked_for(spark):
+    from tessella.operators import items
+    from tessella.sources import adapters
+
+    rows = adapters.responses_from_lineitem(spark, "/root/testdata/sf0.001")
+    whole = items.valid_observations(rows)
+    for some in (["ell"], ["y", "c"], []):
+        part = items.valid_observations(rows, some)
+        assert part.columns == ["model_id", "org_id", "item_id", *some]
+        assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.select(*part.columns).collect()))
