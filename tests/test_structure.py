@@ -85,3 +85,23 @@ def test_set_hashes(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "x string")
     got = df.agg(s.set_hash("x").alias("p"), s.set_hash("x", True).alias("q")).first()
     assert got["p"] == hashlib.sha256(b"a\nb").hexdigest() and got["q"] == hashlib.sha256(b"a\nb\n").hexdigest()
+
+
+def test_rounds_of_a_fit_pass_whole_models(spark, monkeypatch):
+    """Cells meet lines inside tasks, and groups that fail or don't take part are told apart."""
+    rng = np.random.default_rng(8)
+    b, slope, a = rng.normal(size=110), rng.uniform(0.5, 2, 24), rng.normal(size=24)
+    rows = [(k, f"m{m}", f"q{i}", float(a[m] - slope[m] * b[i] * (k + 1))) for k in (0, 1) for m in range(24) for i in range(110) if (m + i) % 13]
+    rows += [(2, f"m{m}", f"q{i}", float(i)) for m in range(24) for i in range(5)]  # few items
+    rows += [(3, f"m{m}", f"q{i}", 1.0) for m in range(24) for i in range(110)]  # no spread
+    passes = []
+    kept = s._position_sums
+    monkeypatch.setattr(s, "_position_sums", lambda models, b: passes.append((models.count(), len(b))) or kept(models, b))
+    items, models, status = s.als_reference(spark.createDataFrame(rows, "k int, model_id string, item_id string, ell double"), ["k"], tol=1e-10)
+    assert {r["k"]: r["reason"] for r in status.collect()} == {0: "", 1: "", 2: "INSUFFICIENT_REFERENCE_ITEMS", 3: "DEGENERATE_REFERENCE_INIT"}
+    assert passes and set(passes) == {(48, 220)}
+    at = {(r["k"], r["item_id"]): r["b"] for r in items.collect()}
+    want = (b - b.mean()) / b.std()
+    assert all(np.allclose([at[k, f"q{i}"] for i in range(110)], want, atol=1e-7) for k in (0, 1))
+    line = {(r["k"], r["model_id"]): (r["a"], r["s"]) for r in models.collect()}
+    assert np.allclose([line[1, f"m{m}"] for m in range(24)], np.column_stack([a - 2 * slope * b.mean(), 2 * slope * b.std()]), atol=1e-6)
