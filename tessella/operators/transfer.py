@@ -62,23 +62,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def invert(acc: np.ndarray, s: np.ndarray, b: np.ndarray, steps: int = STEPS, reach: float = REACH) -> np.ndarray:
-    """The trait at which the mean accuracy over the items equals ``acc``, by bisection of all rows at once."""
+    """The trait at which the mean accuracy over the items equals ``acc``, by bisection of all rows at once.
+
+    exp(-s (t - b)) is exp(s b) exp(-s t), so that a step needs one exponential a row; rows where these may overflow take them in one.
+    """
     low, high = np.full(len(acc), -reach), np.full(len(acc), reach)
+    with np.errstate(invalid="ignore"):
+        apart = np.abs(s) * (reach + np.abs(b).max(initial=0.0)) < 600
+    buffer, grown = np.empty((int(apart.sum()), len(b))), np.exp(s[apart, None] * b)
     for _ in range(steps):
         mid = (low + high) / 2
-        under = _sigmoid(s[:, None] * (mid[:, None] - b)).mean(1) < acc
+        mean = np.empty(len(acc))
+        np.multiply(grown, np.exp(-s[apart] * mid[apart])[:, None], out=buffer)
+        np.reciprocal(np.add(buffer, 1.0, out=buffer), out=buffer)
+        mean[apart] = buffer.mean(1)
+        mean[~apart] = _sigmoid(s[~apart, None] * (mid[~apart, None] - b)).mean(1)
+        under = mean < acc
         low, high = np.where(under, mid, low), np.where(under, high, mid)
     return (low + high) / 2
 
 
-def predicted(rows: DataFrame, positions: DataFrame, chunk: int = 400) -> DataFrame:
+def confidence(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Mean over items and nodes of the likelier side's probability at ``x`` (rows x items) plus each node.
+
+    With g = exp(x + node) it is max(1, g) / (1 + g), so that nodes need no exponential of their own; beyond 300 it is 1.
+    """
+    grown, total = np.exp(np.clip(x, -300, 300)), np.zeros(len(x))
+    g, top = np.empty_like(grown), np.empty_like(grown)
+    for e in np.exp(nodes):
+        np.multiply(grown, e, out=g)
+        np.maximum(g, 1.0, out=top)
+        total += np.divide(top, np.add(g, 1.0, out=g), out=top).mean(1)
+    return total / len(nodes)
+
+
+def predicted(rows: DataFrame, positions: DataFrame, chunk: int = 100) -> DataFrame:
     """``model_id, fold, variant, pred_acc, pred_over`` for rows ``model_id, fold, theta, acc, s_rescale, s_median, s_literal``.
 
     ``positions``: ``fold, item_id, b`` for the models scored in a fold; the items of one benchmark travel as
     an array on each row. A row with a null input gets nulls.
     """
     pack = positions.where("b IS NOT NULL").groupBy("fold").agg(F.sort_array(F.collect_list("b")).alias("bs"))
-    joined = rows.select("model_id", "fold", "theta", "acc", *(f"s_{v}" for v in VARIANTS)).join(F.broadcast(pack), "fold")  # two rows
+    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism  # rows are few bytes and much work: a plain shuffle would put them into few tasks
+    spread = rows.select("model_id", "fold", "theta", "acc", *(f"s_{v}" for v in VARIANTS)).repartition(parts, "model_id")
+    joined = spread.join(F.broadcast(pack), "fold")  # two rows
     nodes = logistic_nodes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +121,7 @@ def predicted(rows: DataFrame, positions: DataFrame, chunk: int = 400) -> DataFr
                         forward = _sigmoid(s[:, None] * (theta[:, None] - b)).mean(1)
                         there = np.where(np.isnan(acc) | np.isnan(s), np.nan, invert(acc, s, b))
                         x = s[:, None] * (there[:, None] - b)
-                        sure = sum(_sigmoid(np.abs(x + e)).mean(1) for e in nodes) / len(nodes)
+                        sure = confidence(x, nodes)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(some["model_id"].tolist(), pa.string()), pa.array(some["fold"].tolist(), pa.int32()), pa.array([v] * len(some)), pa.array(forward, from_pandas=True), pa.array(sure - acc, from_pandas=True)],
                             ["model_id", "fold", "variant", "pred_acc", "pred_over"],
@@ -108,12 +135,12 @@ def target_fits(obs: DataFrame, fold_of: DataFrame, fitted: bool = True, **limit
 
     ``fitted`` alternates to convergence; else lines are those on start positions.
     """
-    rows = obs.join(fold_of, "org_id").select("fold", "model_id", "item_id", "ell")
+    rows = structure.checkpointed(obs.join(F.broadcast(fold_of), "org_id").select("fold", "model_id", "item_id", "ell"))  # a row per organisation
     if fitted:
-        b, models, _ = structure.als_reference(structure.checkpointed(rows), ["fold"], **limits)
+        b, models, _ = structure.als_reference(rows, ["fold"], **limits)
         return b, models.select("model_id", "fold", "s")
     b = structure.checkpointed(structure.initial_positions(rows, ["fold"], limits.get("least_models", 20)).where("b IS NOT NULL"))
-    return b, structure.line_fit(rows.join(b, ["fold", "item_id"]), ["fold", "model_id"]).select("model_id", "fold", "s")
+    return b, structure.line_fit(rows.join(F.broadcast(b), ["fold", "item_id"]), ["fold", "model_id"]).select("model_id", "fold", "s")  # folds x items
 
 
 def transfer(source: DataFrame, target: DataFrame, seed: int = SEED, fitted: bool = True, **limits) -> DataFrame:
@@ -124,9 +151,9 @@ def transfer(source: DataFrame, target: DataFrame, seed: int = SEED, fitted: boo
     once, with what the other fold gave. Without usable models in the other fold predictions are null.
     """
     scores = theory_scores(target)
-    taking = source.where("s > 0 AND theta IS NOT NULL").select("model_id", "org_id", "theta", "s").join(scores, "model_id")
+    taking = structure.checkpointed(source.where("s > 0 AND theta IS NOT NULL").select("model_id", "org_id", "theta", "s").join(scores, "model_id"))
     fold_of = structure.checkpointed(two_folds(taking, seed))
-    taking = structure.checkpointed(taking.join(F.broadcast(fold_of), "org_id"))  # a row per organisation
+    taking = taking.join(F.broadcast(fold_of), "org_id")  # a row per organisation
     estimated = target.join(taking.select("model_id"), "model_id", "left_semi")
     b, lines = target_fits(estimated, fold_of, fitted, **limits)
     scale = frozen(taking, lines)

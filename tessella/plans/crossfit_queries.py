@@ -131,10 +131,12 @@ def nested_selection(spark, sf):
 
 def _transferred(spark, sf, fitted):
     """Slopes and traits on start positions of the first benchmark, carried to the second one."""
-    obs, target = (structure.checkpointed(items.valid_observations(adapters.responses_from_lineitem(spark, sf, t), ["ell"])) for t in (False, True))
+    flags = ("source", "target")
+    both = structure.checkpointed(items.valid_observations(adapters.lines_by_model(spark, sf), ["ell"], flags, adapters.responses_of_both))
+    obs, target = (both.where(k).drop(*flags) for k in flags)
     everyone = obs.withColumn("k", F.lit(0))
     start = structure.initial_positions(everyone, ["k"]).where("b IS NOT NULL").drop("k")
-    source = structure.line_fit(obs.join(start, "item_id"), ["model_id", "org_id"]).select("model_id", "org_id", "s", (F.col("a") / F.when(F.col("s") > 1e-8, F.col("s"))).alias("theta"))
+    source = structure.line_fit(obs.join(F.broadcast(start), "item_id"), ["model_id", "org_id"]).select("model_id", "org_id", "s", (F.col("a") / F.when(F.col("s") > 1e-8, F.col("s"))).alias("theta"))  # start: items of the benchmark
     return transfer.transfer(source, target, fitted=fitted, least_models=5 if not fitted else 20)
 
 

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import crossfit, identity, transfer
 
@@ -75,6 +76,35 @@ def test_transfer_equals_a_dense_version(spark, fitted):
             assert np.abs(mine["pred_over"].to_numpy() - (sure - acc[at])).max() < 10 * tol
 
 
+def test_products_of_exponentials_equal_plain_logistics():
+    """Flat, negative, steep and overflowing slopes: rows that products would overflow are taken plainly."""
+    rng = np.random.default_rng(3)
+    b, nodes = np.sort(rng.normal(size=40)), transfer.logistic_nodes()
+    s = np.array([0.0, -1.0, 0.3, 2.0, 9.0, 40.0, 1e3, np.nan])
+    theta = rng.normal(size=len(s))
+    plain = lambda x: 1 / (1 + np.exp(np.clip(-x, None, 700)))
+    acc = plain(s[:, None] * (theta[:, None] - b)).mean(1)
+    low, high = np.full(len(s), -transfer.REACH), np.full(len(s), transfer.REACH)
+    for _ in range(transfer.STEPS):
+        mid = (low + high) / 2
+        under = plain(s[:, None] * (mid[:, None] - b)).mean(1) < acc
+        low, high = np.where(under, mid, low), np.where(under, high, mid)
+    with np.errstate(all="raise", under="ignore"):
+        got = transfer.invert(acc, s, b)
+    rising = s > 0
+    assert np.abs(got - (low + high) / 2)[rising].max() < 1e-9 and (got[~rising] == ((low + high) / 2)[~rising])[1:].all()
+    x = s[:-1, None] * (theta[:-1, None] - b)
+    assert np.abs(transfer.confidence(x, nodes) - np.mean([plain(np.abs(x + e)).mean(1) for e in nodes], 0)).max() < 1e-12
+
+
+def test_bisection_is_spread_over_tasks(spark):
+    """Rows of a few bytes and much work must not be coalesced into a task or two."""
+    rows = spark.range(64).select(F.col("id").cast("string").alias("model_id"), F.lit(0).alias("fold"), F.lit(0.1).alias("theta"), F.lit(0.6).alias("acc"), *(F.lit(1.0).alias(f"s_{v}") for v in transfer.VARIANTS))
+    places = spark.range(30).select(F.lit(0).alias("fold"), F.col("id").cast("string").alias("item_id"), (F.col("id") / 30).alias("b"))
+    out = transfer.predicted(rows.join(spark.range(64).select(F.col("id").cast("string").alias("model_id")), "model_id"), places).select(F.spark_partition_id().alias("p")).distinct()
+    assert out.count() > spark.sparkContext.defaultParallelism
+
+
 def test_intervals_equal_a_gather(spark):
     n = 90
     t = pd.DataFrame({"model_id": [f"m{i}" for i in range(n)], "org_id": [f"g{i % 9}" for i in range(n)], "fold": 0, "acc": RNG.uniform(size=n), "over": RNG.normal(size=n)})
