@@ -91,3 +91,43 @@ def test_traits_are_recovered_at_the_full_count(spark):
 def test_nothing_observed(spark):
     models, items, history = alternating.fit(cells(spark, np.full((2, 2), np.nan)))
     assert len(models) == len(items) == len(history) == 0
+
+
+@pytest.mark.parametrize("kind", ["beta", "binary"])
+def test_nodes_stand_for_cells(kind):
+    """Gradients and losses of steps that visit some nodes, not 4,000 cells an item or 300 a model, are those of the cells."""
+    rng = np.random.default_rng(6)
+    theta, items = rng.uniform(-1.5, 1.5, 4000), np.stack([rng.uniform(0.3, 2.5, 300), rng.normal(size=300) / 2])
+    y = rng.uniform(0.01, 0.99, (4000, 300))
+    y = np.round(y) if kind == "binary" else y
+    o = alternating.outcomes(kind, y)[0]
+    constants = lambda rows: np.array([alternating.outcomes(kind, v)[1] for v in rows])
+    some = [5, 17, 200]
+    nodes = alternating._Items(kind, items[0, some], [(theta, o[:, k]) for k in some], constants(y[:, some].T), y.size, 10.0, 0.01, 100)
+    cells = alternating.gradient_of("items", kind, theta[None], np.repeat(np.arange(3), 4000), np.tile(np.arange(4000), 3), y[:, some].T.ravel(), y.size, 10.0)
+    assert len(nodes.theta) < 1000
+    few = [3, 900, 2500, 3999]
+    table = alternating._Models(kind, items, np.tile(np.arange(300), 4), o[few].ravel(), np.full(4, 300), constants(y[few]), y.size, 10.0)
+    whole = alternating.gradient_of("models", kind, items, np.repeat(np.arange(4), 300), np.tile(np.arange(300), 4), y[few].ravel(), y.size, 10.0)
+    for _ in range(5):
+        own, trait = items[:, some] + rng.normal(size=(2, 3)) * 0.3, theta[None, few] + rng.normal(size=(1, 4)) * 0.3
+        for got, want in ((nodes(own, True), cells(own, True)), (table(trait, True), whole(trait, True))):
+            for a, b in zip(got, want):
+                assert np.allclose(a * y.size, b * y.size, rtol=1e-10, atol=1e-8)
+    assert not nodes.bad.any() and not table.bad.any()
+
+
+@pytest.mark.parametrize("kind", ["beta", "binary"])
+def test_steep_items_and_far_traits_are_done_by_cells(spark, monkeypatch, kind):
+    """Means beyond the clamp have no slope, which no smooth sum can follow."""
+    rng = np.random.default_rng(9)
+    y = rng.uniform(0.01, 0.99, (60, 8))
+    y = np.round(y) if kind == "binary" else y
+    begin = rng.normal(size=(1, 60)) * 2, np.stack([np.linspace(-7, 7, 8), rng.normal(size=8)])
+    monkeypatch.setattr(alternating, "start", lambda *a: tuple(p.copy() for p in begin) if a[2] == 0 else None)
+    eta = begin[1][0] * (begin[0].T + begin[1][1])
+    assert (np.abs(eta) > 15).any() and (np.abs(eta) < 10).all(1).any()
+    models, items, history = alternating.fit(cells(spark, y), kind, epochs=2, steps=7)
+    theta, alpha, z, losses = dense(y, kind, 2, 7)
+    for got, want in ((models["theta"], theta), (items["alpha"], alpha), (items["z"], z), (history, losses)):
+        assert np.allclose(got, want, atol=1e-9)
